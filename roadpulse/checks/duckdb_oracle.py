@@ -42,7 +42,8 @@ incidents_raw AS (
          '%Y-%m-%d %H:%M:%S.%f') END AS end_datetime,
     CASE WHEN event_id % 10 < 4 THEN strftime(ts + to_seconds(CAST(floor(value * 60) AS BIGINT) - 30),
          '%Y-%m-%d %H:%M:%S.%f') END AS closed_datetime,
-    strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_date
+    strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_date,
+    ts AS src_ts, value AS src_value
   FROM events)"""
 
 PREP = f"""
@@ -224,10 +225,10 @@ def with_base(final_sql: str, extra_ctes: str = "") -> str:
     return dedent(f"WITH RECURSIVE {ctes}\n{final_sql}")
 
 
-def rounded(sql: str, double_cols: list[str], digits: int = 6) -> str:
+def rounded(sql: str, double_cols: list[str], digits: int = 6, nudge: str = "") -> str:
     if not double_cols:
         return sql
-    rep = ", ".join(f"round({c}, {digits}) + 0.0::DOUBLE AS {c}" for c in double_cols)
+    rep = ", ".join(f"round({c}{nudge}, {digits}) + 0.0::DOUBLE AS {c}" for c in double_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"
 
 
@@ -245,3 +246,397 @@ FROM prepared"""), FEATURE_DOUBLES),
     "geo_stats": rounded(with_base("SELECT * FROM lk_cell"),
                          ["geo_high_priority_rate", "geo_closure_rate", "geo_avg_duration"]),
 }
+
+TRAINING_DOUBLES = FEATURE_DOUBLES + [
+    "geo_event_count", "geo_high_priority_rate", "geo_closure_rate", "geo_avg_duration",
+    "zone_hour_event_count", "corridor_risk_score", "cause_closure_rate", "cause_avg_duration",
+    "cause_zone_closure", "geo_closure_x_peak", "geo_event_density", "duration_x_closure_risk",
+    "log_geo_event_count"]
+MEDIAN_NAMES = ["geo_event_count", "geo_high_priority_rate", "geo_closure_rate",
+                "geo_avg_duration", "zone_hour_event_count", "corridor_risk_score",
+                "cause_closure_rate", "cause_avg_duration", "cause_zone_closure"]
+
+SQL.update({
+    "zone_hour_counts": with_base("SELECT * FROM lk_zone_hour"),
+    "corridor_risk": rounded(with_base("SELECT * FROM lk_corridor"), ["corridor_risk_score"]),
+    "cause_stats": rounded(with_base("SELECT * FROM lk_cause"),
+                           ["cause_closure_rate", "cause_avg_duration"]),
+    "cause_zone_closure": rounded(with_base("SELECT * FROM lk_cause_zone"), ["cause_zone_closure"]),
+    "high_risk_causes": with_base("SELECT * FROM lk_high_risk"),
+    "train_medians": rounded(with_base(
+        "SELECT " + ", ".join(f"m_{c} AS {c}" for c in MEDIAN_NAMES) + " FROM medians"),
+        MEDIAN_NAMES),
+    "iqr_bounds": rounded(with_base("SELECT q1, q3, lower, upper FROM iqr"),
+                          ["q1", "q3", "lower", "upper"]),
+    "category_modes": with_base("SELECT * FROM modes"),
+    "training_features": rounded(with_base("""
+SELECT incident_id, event_type, event_cause, veh_type, zone, corridor, police_station, junction,
+  priority, requires_road_closure, latitude, longitude, duration_minutes, hour, day_of_week, month,
+  is_weekend, is_peak_hour, time_of_day, hour_sin, hour_cos, month_sin, month_cos, dow_sin, dow_cos,
+  geohash6, priority_binary, road_closure_binary, is_planned, time_of_day_afternoon,
+  time_of_day_evening, time_of_day_late_evening, time_of_day_morning, split,
+  geo_event_count, geo_high_priority_rate, geo_closure_rate, geo_avg_duration,
+  zone_hour_event_count, corridor_risk_score, cause_closure_rate, cause_avg_duration,
+  cause_zone_closure, geo_closure_x_peak, geo_event_density, duration_x_closure_risk,
+  log_geo_event_count, is_high_risk_cause
+FROM features2"""), TRAINING_DOUBLES),
+})
+
+# ---------------------------------------------------------------------------
+# dashboard, prediction log, drift, EMA, messages
+# ---------------------------------------------------------------------------
+from ..functions import keywords as _kw  # noqa: E402
+from ..functions import rules as _r  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_PUBLIC = ", ".join(_q(c) for c in _r.PUBLIC_EVENT_CAUSES)
+_T = f"{_r.DEFAULT_CLOSURE_THRESHOLD}{D}"
+_MANPOWER = f"""CASE WHEN event_cause IN ({_PUBLIC}) THEN {_q(_r.PUBLIC_EVENT_MANPOWER)}
+    WHEN priority_prob >= 0.75{D} THEN {_q(_r.MANPOWER_HIGH)}
+    WHEN priority_prob >= 0.45{D} THEN {_q(_r.MANPOWER_MEDIUM)}
+    ELSE {_q(_r.MANPOWER_LOW)} END"""
+_BARRICADE = f"""CASE WHEN event_cause IN ({_PUBLIC}) THEN {_q(_r.PUBLIC_EVENT_BARRICADE)}
+    WHEN closure_prob >= {_T} THEN {_q(_r.BARRICADE_FULL)}
+    WHEN closure_prob >= {_T} * 0.5{D} THEN {_q(_r.BARRICADE_PARTIAL)}
+    ELSE {_q(_r.BARRICADE_MINIMAL)} END"""
+_DIVERSION = f"""CASE WHEN closure_prob >= {_T} AND hour IN (7, 8, 9, 17, 18, 19, 20)
+      THEN {_q(_r.DIVERSION_URGENT)}
+    WHEN closure_prob >= {_T} * 0.75{D} OR duration_est_min > 90 THEN {_q(_r.DIVERSION_RECOMMENDED)}
+    ELSE {_q(_r.DIVERSION_MONITOR)} END"""
+
+LOG_CTES = f"""
+plog_scored AS (
+  SELECT incident_id AS prediction_id, src_ts AS "timestamp", latitude, longitude,
+    CAST(hour(src_ts) AS INTEGER) AS hour, CAST(isodow(src_ts) - 1 AS INTEGER) AS day_of_week,
+    CAST(month(src_ts) AS INTEGER) AS month, event_cause, zone, corridor,
+    ((incident_id * 7919) % 10000){D} / 10000.0{D} AS priority_prob,
+    ((incident_id * 104729) % 10000){D} / 10000.0{D} AS closure_prob,
+    src_value AS duration_est_min
+  FROM incidents_raw),
+plog AS (
+  SELECT *, substr({_MANPOWER}, 1, 10) AS manpower_level,
+    substr({_BARRICADE}, 1, 10) AS barricading_level,
+    substr({_DIVERSION}, 1, 10) AS diversion_level,
+    NULL::VARCHAR AS actual_priority, NULL::INTEGER AS actual_closure,
+    NULL{D} AS actual_duration_min, NULL::BOOLEAN AS feedback_correct
+  FROM plog_scored),
+plog_asof AS (SELECT max("timestamp") AS as_of FROM plog),
+plog_half AS (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY "timestamp", prediction_id)
+                      <= (SELECT count(*) FROM plog) // 2 THEN 'ref' ELSE 'cur' END AS half
+  FROM plog)"""
+
+_TSF = "'%Y-%m-%d %H:%M:%S.%f'"
+_LOG_SELECT = f"""prediction_id, strftime("timestamp", {_TSF}) AS "timestamp", latitude, longitude,
+  hour, day_of_week, month, event_cause, zone, corridor, priority_prob, closure_prob,
+  duration_est_min, manpower_level, barricading_level, diversion_level, actual_priority,
+  actual_closure, actual_duration_min, feedback_correct"""
+_LOG_DOUBLES = ["latitude", "longitude", "priority_prob", "closure_prob", "duration_est_min",
+                "actual_duration_min"]
+
+
+def _psi_sql(long_cte: str, group: str) -> str:
+    """PSI over (group, side, v) rows of ``long_cte``: joint edges, 10 bins, +1."""
+    return f"""
+b AS (SELECT {group}, count(*) AS n_all,
+        min(v) FILTER (WHERE v IS NOT NULL AND NOT isnan(v)) AS lo,
+        max(v) FILTER (WHERE v IS NOT NULL AND NOT isnan(v)) AS hi,
+        count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v) AND side = 'ref') AS n_ref,
+        count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v) AND side = 'cur') AS n_cur
+      FROM {long_cte} GROUP BY {group}),
+binned AS (
+  SELECT l.{group}, l.side,
+    CASE WHEN b.hi = b.lo THEN 9
+         ELSE least(CAST(floor((l.v - b.lo) / ((b.hi - b.lo) / 10.0{D})) AS INTEGER), 9) END AS bin
+  FROM {long_cte} l JOIN b USING ({group}) WHERE l.v IS NOT NULL AND NOT isnan(l.v)),
+cnt AS (SELECT {group}, bin, count(*) FILTER (WHERE side = 'ref') AS r,
+          count(*) FILTER (WHERE side = 'cur') AS c FROM binned GROUP BY {group}, bin),
+dense AS (SELECT b.{group}, s.bin FROM b, (SELECT unnest(range(10)) AS bin) s
+          WHERE b.lo IS NOT NULL),
+full_bins AS (
+  SELECT d.{group}, coalesce(cnt.r, 0) + 1 AS r, coalesce(cnt.c, 0) + 1 AS c
+  FROM dense d LEFT JOIN cnt ON d.{group} = cnt.{group} AND d.bin = cnt.bin),
+pct AS (SELECT {group}, r / sum(r) OVER (PARTITION BY {group}) AS rp,
+          c / sum(c) OVER (PARTITION BY {group}) AS cp FROM full_bins),
+psi AS (SELECT {group}, sum((cp - rp) * ln(cp / rp)) AS psi FROM pct GROUP BY {group})"""
+
+
+def _contains_chain(col: str, pairs, longest: bool = True) -> str:
+    seq = _kw.by_length(pairs) if longest else pairs
+    arms = "\n      ".join(f"WHEN contains({col}, {_q(k)}) THEN {_q(v) if isinstance(v, str) else v}"
+                           for k, v in seq)
+    return f"CASE {arms} END"
+
+
+def _any_sql(col: str, words) -> str:
+    return "(" + " OR ".join(f"contains({col}, {_q(w)})" for w in words) + ")"
+
+
+_TOPIC = "CASE " + " ".join(
+    f"WHEN {_any_sql('low', ws)} THEN {_q(t)}" for t, ws in _kw.EXPLAIN_TOPICS) + " ELSE 'generic' END"
+_WORDS = "[" + ", ".join(_q(k) for k, _ in _kw.CAUSE_KEYWORDS) + "]"
+_SAMPLES = "[" + ", ".join(_q(t) for t in _kw.SAMPLE_MESSAGES) + "]"
+_HELP = ", ".join(_q(h) for h in _kw.HELP_EXACT)
+
+MSG_CTES = f"""
+msgs AS (
+  SELECT incident_id AS message_id, src_ts AS sent_at,
+    CASE WHEN incident_id % 7 = 0 THEN {_SAMPLES}[((incident_id // 7) % {len(_kw.SAMPLE_MESSAGES)}) + 1]
+         ELSE {_WORDS}[(incident_id % {len(_kw.CAUSE_KEYWORDS)}) + 1] || ' at '
+              || printf('%.4f', coalesce(latitude, 0.0{D})) || ', '
+              || printf('%.4f', coalesce(longitude, 0.0{D})) || ' at '
+              || CAST(incident_id % 12 + 1 AS VARCHAR)
+              || CASE WHEN incident_id % 2 = 0 THEN 'am' ELSE 'pm' END END AS text
+  FROM incidents_raw),
+m1 AS (
+  SELECT message_id, sent_at, text, lower(trim(text)) AS low,
+    regexp_extract(text, {_q(_kw.LAT_LON_PATTERN)}, 1) AS lat_s,
+    regexp_extract(text, {_q(_kw.LAT_LON_PATTERN)}, 2) AS lon_s
+  FROM msgs),
+m2 AS (
+  SELECT *,
+    CASE WHEN regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 1) <> '' THEN
+           CASE WHEN regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 2) = 'pm'
+                     AND CAST(regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 1) AS INTEGER) < 12
+                  THEN CAST(regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 1) AS INTEGER) + 12
+                WHEN regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 2) = 'am'
+                     AND CAST(regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 1) AS INTEGER) = 12
+                  THEN 0
+                ELSE CAST(regexp_extract(low, {_q(_kw.AMPM_PATTERN)}, 1) AS INTEGER) END
+         WHEN regexp_extract(low, {_q(_kw.HOUR24_PATTERN)}, 1) <> ''
+           THEN CAST(regexp_extract(low, {_q(_kw.HOUR24_PATTERN)}, 1) AS INTEGER)
+         WHEN regexp_extract(low, {_q(_kw.AT_HOUR_PATTERN)}, 1) <> ''
+           THEN CAST(regexp_extract(low, {_q(_kw.AT_HOUR_PATTERN)}, 1) AS INTEGER) END AS h_raw,
+    CASE WHEN lat_s <> '' THEN CAST(lat_s AS DOUBLE) END AS lat_v,
+    CASE WHEN lon_s <> '' THEN CAST(lon_s AS DOUBLE) END AS lon_v,
+    {_contains_chain('low', _kw.CAUSE_KEYWORDS)} AS cause_v,
+    {_contains_chain('low', _kw.ZONE_KEYWORDS)} AS zone_v,
+    {_contains_chain('low', _kw.CORRIDOR_KEYWORDS)} AS corridor_v,
+    {_contains_chain('low', _kw.DAY_KEYWORDS, longest=False)} AS day_v
+  FROM m1),
+m3 AS (
+  SELECT *, least(greatest(h_raw, 0), 23) AS hour_v,
+    CASE WHEN low IN ({_HELP}) THEN 'help'
+         WHEN {_any_sql('low', _kw.STATUS_WORDS)} THEN 'status'
+         WHEN {_any_sql('low', _kw.COMPARE_WORDS)} THEN 'compare'
+         WHEN {_any_sql('low', _kw.HOTSPOT_WORDS)} THEN 'hotspot'
+         WHEN {_any_sql('low', _kw.EXPLAIN_WORDS)} THEN 'explain'
+         WHEN lat_v IS NOT NULL OR cause_v IS NOT NULL OR h_raw IS NOT NULL THEN 'predict'
+         ELSE 'help' END AS intent
+  FROM m2),
+parsed AS (
+  SELECT message_id, sent_at, low, intent,
+    intent = 'help' AND low NOT IN ({_HELP}) AS fallback,
+    CASE WHEN intent = 'predict' THEN lat_v END AS latitude,
+    CASE WHEN intent = 'predict' THEN lon_v END AS longitude,
+    CASE WHEN intent = 'predict' THEN hour_v END AS hour,
+    CASE WHEN intent = 'predict' THEN cause_v END AS event_cause,
+    CASE WHEN intent = 'predict' THEN zone_v END AS zone,
+    CASE WHEN intent = 'predict' THEN corridor_v END AS corridor,
+    CASE WHEN intent = 'predict' THEN day_v END AS day_of_week,
+    CASE WHEN intent = 'hotspot' THEN zone_v END AS hotspot_zone,
+    CASE WHEN intent = 'explain' THEN {_TOPIC} END AS explain_topic
+  FROM m3),
+kw_corr AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_q(k)}, {_q(v)})" for i, (k, v) in enumerate(_kw.by_length(_kw.CORRIDOR_KEYWORDS)))}) t(ord, kw, name)),
+kw_zone AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_q(k)}, {_q(v)})" for i, (k, v) in enumerate(_kw.by_length(_kw.ZONE_KEYWORDS)))}) t(ord, kw, name)),
+req AS (
+  SELECT message_id, kind, name,
+    CAST(row_number() OVER (PARTITION BY message_id, kind ORDER BY min(ord)) - 1 AS INTEGER) AS position
+  FROM (SELECT p.message_id, 'corridor' AS kind, k.name, k.ord FROM parsed p JOIN kw_corr k
+          ON p.intent = 'compare' AND contains(p.low, k.kw)
+        UNION ALL
+        SELECT p.message_id, 'zone', k.name, k.ord FROM parsed p JOIN kw_zone k
+          ON p.intent = 'compare' AND contains(p.low, k.kw))
+  GROUP BY message_id, kind, name)"""
+
+EMA_CTES = f"""
+ev AS (
+  SELECT geohash6, start_datetime AS ts, incident_id AS id,
+    CASE WHEN priority = 'High' THEN 1.0{D} ELSE 0.0{D} END AS x_high,
+    CAST(requires_road_closure AS INTEGER){D} AS x_cl, duration_minutes AS x_d
+  FROM prepared WHERE split = 'test'),
+evr AS (
+  SELECT *, row_number() OVER (PARTITION BY geohash6 ORDER BY ts DESC, id DESC) - 1 AS j,
+    CASE WHEN x_d IS NOT NULL THEN row_number() OVER (
+      PARTITION BY geohash6, x_d IS NULL ORDER BY ts DESC, id DESC) - 1 END AS jd
+  FROM ev),
+upd AS (
+  SELECT geohash6, count(*) AS n,
+    sum(0.3{D} * pow(0.7{D}, j) * x_high) AS b_high,
+    sum(0.3{D} * pow(0.7{D}, j) * x_cl) AS b_cl,
+    count(x_d) AS n_d,
+    coalesce(sum(0.3{D} * pow(0.7{D}, jd) * x_d) FILTER (WHERE x_d IS NOT NULL), 0.0{D}) AS b_d,
+    arg_max(x_high, j) AS f_high, arg_max(x_cl, j) AS f_cl,
+    arg_max(x_d, jd) FILTER (WHERE x_d IS NOT NULL) AS f_d
+  FROM evr GROUP BY geohash6),
+ema AS (
+  SELECT coalesce(o.geohash6, u.geohash6) AS geohash6,
+    CAST(coalesce(o.geo_event_count, 0) + coalesce(u.n, 0) AS BIGINT) AS geo_event_count,
+    CASE WHEN u.n IS NULL THEN o.geo_high_priority_rate
+         ELSE pow(0.7{D}, u.n) * (CASE WHEN o.geohash6 IS NOT NULL THEN o.geo_high_priority_rate
+                                       ELSE u.f_high END) + u.b_high END AS geo_high_priority_rate,
+    CASE WHEN u.n IS NULL THEN o.geo_closure_rate
+         ELSE pow(0.7{D}, u.n) * (CASE WHEN o.geohash6 IS NOT NULL THEN o.geo_closure_rate
+                                       ELSE u.f_cl END) + u.b_cl END AS geo_closure_rate,
+    CASE WHEN u.n IS NULL OR u.n_d = 0 THEN o.geo_avg_duration
+         ELSE pow(0.7{D}, u.n_d) * coalesce(o.geo_avg_duration, u.f_d) + u.b_d END AS geo_avg_duration,
+    CAST(coalesce(u.n, 0) AS BIGINT) AS events_applied
+  FROM lk_cell o FULL OUTER JOIN upd u ON o.geohash6 = u.geohash6)"""
+
+_FEATS = ["latitude", "longitude", "hour", "geo_event_count", "geo_closure_rate",
+          "zone_hour_event_count"]
+_FEAT_LONG = " UNION ALL ".join(
+    f"SELECT {_q(f)} AS feature, split, CAST({f} AS DOUBLE) AS v FROM features2" for f in _FEATS)
+
+SQL.update({
+    "overview_kpis": with_base("""
+SELECT count(*) AS total_events,
+  CAST(count_if(event_type = 'unplanned') AS BIGINT) AS unplanned,
+  CAST(count_if(priority = 'High') AS BIGINT) AS high_priority,
+  CAST(count_if(requires_road_closure) AS BIGINT) AS road_closures
+FROM incidents_raw"""),
+    "cause_counts": with_base("""
+SELECT lower(trim(event_cause)) AS cause, count(*) AS count FROM incidents_raw
+WHERE event_cause IS NOT NULL GROUP BY 1"""),
+    "hourly_counts": with_base("""
+SELECT CAST(hour(TRY_CAST(start_datetime AS TIMESTAMP)) AS INTEGER) AS hour, count(*) AS count
+FROM incidents_raw WHERE TRY_CAST(start_datetime AS TIMESTAMP) IS NOT NULL GROUP BY 1"""),
+    "zone_shares": rounded(with_base("""
+SELECT zone, count(*) AS count, count(*) / sum(count(*)) OVER () AS share
+FROM incidents_raw WHERE zone IS NOT NULL GROUP BY zone"""), ["share"]),
+    "cause_priority_counts": with_base("""
+SELECT lower(trim(event_cause)) AS event_cause, priority, count(*) AS count FROM incidents_raw
+WHERE event_cause IS NOT NULL AND priority IS NOT NULL GROUP BY 1, 2"""),
+    "cause_priority_pivot": with_base("""
+SELECT event_cause, CAST(sum(count) FILTER (WHERE priority = 'High') AS BIGINT) AS "High",
+  CAST(sum(count) FILTER (WHERE priority = 'Low') AS BIGINT) AS "Low"
+FROM (SELECT lower(trim(event_cause)) AS event_cause, priority, count(*) AS count
+      FROM incidents_raw WHERE event_cause IS NOT NULL AND priority IS NOT NULL GROUP BY 1, 2)
+GROUP BY event_cause""", ),
+    "prediction_log": rounded(with_base(f"SELECT {_LOG_SELECT} FROM plog", LOG_CTES),
+                              _LOG_DOUBLES),
+    "log_summary": rounded(with_base(f"""
+SELECT count(*) AS total,
+  CAST(count_if("timestamp" >= (SELECT as_of FROM plog_asof) - INTERVAL 24 HOUR) AS BIGINT) AS last_24h,
+  coalesce(round_even(avg(priority_prob) * 100, 1), 0.0{D}) AS avg_priority_risk,
+  coalesce(round_even(avg(closure_prob) * 100, 1), 0.0{D}) AS avg_closure_risk
+FROM plog""", LOG_CTES), ["avg_priority_risk", "avg_closure_risk"]),
+    "recent_predictions": rounded(with_base(f"""
+SELECT {_LOG_SELECT} FROM plog
+WHERE "timestamp" >= (SELECT as_of FROM plog_asof) - INTERVAL 24 HOUR""", LOG_CTES), _LOG_DOUBLES),
+    "latest_predictions": rounded(with_base(f"""
+SELECT prediction_id, strftime("timestamp", {_TSF}) AS "timestamp", event_cause, zone,
+  priority_prob, closure_prob, duration_est_min
+FROM plog ORDER BY plog."timestamp" DESC, prediction_id DESC LIMIT 20""", LOG_CTES),
+        ["priority_prob", "closure_prob", "duration_est_min"]),
+    "recommendations": rounded(with_base(f"""
+SELECT prediction_id,
+  {_MANPOWER} AS manpower, {_BARRICADE} AS barricading, {_DIVERSION} AS diversion,
+  CAST(round_even(duration_est_min, 0) AS BIGINT) AS estimated_duration_min,
+  CASE WHEN priority_prob > 0.5{D} THEN 'HIGH' ELSE 'LOW' END AS priority_label,
+  CASE WHEN closure_prob >= {_T} THEN 'LIKELY' ELSE 'UNLIKELY' END AS closure_label,
+  CASE WHEN priority_prob * 100 < 40 THEN 'low' WHEN priority_prob * 100 < 70 THEN 'medium'
+       ELSE 'high' END AS priority_band,
+  priority_prob * 100 AS priority_pct, closure_prob * 100 AS closure_pct
+FROM plog_scored""", LOG_CTES), ["priority_pct", "closure_pct"]),
+    "score_histogram": rounded(with_base(f"""
+SELECT s.bin, lo + s.bin * w AS bin_lo, lo + (s.bin + 1) * w AS bin_hi,
+  CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
+FROM (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20.0{D} ELSE 1.0{D} END AS w
+      FROM (SELECT min(priority_prob * 100) AS lo, max(priority_prob * 100) AS hi FROM plog)) bnd
+CROSS JOIN (SELECT CAST(unnest(range(20)) AS INTEGER) AS bin) s
+LEFT JOIN (
+  SELECT least(CAST(floor((priority_prob * 100 - lo) / w) AS INTEGER), 19) AS bin, count(*) AS cnt
+  FROM plog, (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 20.0{D} ELSE 1.0{D} END AS w
+      FROM (SELECT min(priority_prob * 100) AS lo, max(priority_prob * 100) AS hi FROM plog)) b2
+  GROUP BY 1) c ON c.bin = s.bin""", LOG_CTES), ["bin_lo", "bin_hi"]),
+    "log_halves": with_base("""
+SELECT half, count(*) AS rows, min(prediction_id) AS first_id, max(prediction_id) AS last_id
+FROM plog_half GROUP BY half""", LOG_CTES),
+    "prediction_drift": with_base("""
+SELECT b.score_column, b.n_ref, b.n_cur,
+  CASE WHEN b.n_all >= 40 AND b.n_ref >= 10 AND b.n_cur >= 10 THEN round_even(psi.psi, 4) END AS psi,
+  CASE WHEN b.n_all < 40 OR b.n_ref < 10 OR b.n_cur < 10 THEN 'INSUFFICIENT_DATA'
+       WHEN psi.psi < 0.10 THEN 'STABLE' WHEN psi.psi < 0.25 THEN 'DRIFTING'
+       ELSE 'SIGNIFICANT_SHIFT' END AS status
+FROM b LEFT JOIN psi USING (score_column)""", LOG_CTES + """,
+plong AS (
+  SELECT 'priority_prob' AS score_column, half AS side, priority_prob AS v FROM plog_half UNION ALL
+  SELECT 'closure_prob', half, closure_prob FROM plog_half UNION ALL
+  SELECT 'duration_est_min', half, duration_est_min FROM plog_half),""" + _psi_sql("plong", "score_column")),
+    "feature_drift": with_base(f"""
+SELECT feature, n_cur,
+  CASE WHEN n_cur >= 20 THEN round_even(psi, 4) END AS psi,
+  CASE WHEN n_cur < 20 THEN 'INSUFFICIENT_DATA' WHEN psi < 0.10 THEN 'NO_DRIFT'
+       WHEN psi < 0.25 THEN 'MODERATE_DRIFT' ELSE 'SIGNIFICANT_DRIFT' END AS status
+FROM (SELECT feature, sum(c - 1) AS n_cur, sum((cp - rp) * ln(cp / rp)) AS psi
+      FROM (SELECT feature, r, c, r / sum(r) OVER (PARTITION BY feature) AS rp,
+                   c / sum(c) OVER (PARTITION BY feature) AS cp FROM fd_full)
+      GROUP BY feature)""", f"""
+flong AS ({_FEAT_LONG}),
+fb AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM flong
+       WHERE split = 'train' AND v IS NOT NULL GROUP BY feature),
+fidx AS (
+  SELECT f.feature, f.split,
+    CASE WHEN f.v < fb.lo THEN 0 WHEN f.v > fb.hi THEN 9 WHEN fb.hi = fb.lo THEN 9
+         ELSE least(CAST(floor((f.v - fb.lo) / ((fb.hi - fb.lo) / 10.0{D})) AS INTEGER), 9) END AS bin
+  FROM flong f JOIN fb USING (feature) WHERE f.v IS NOT NULL),
+fcnt AS (SELECT feature, bin, count(*) FILTER (WHERE split = 'train') AS rc,
+           count(*) FILTER (WHERE split = 'test') AS cc FROM fidx GROUP BY feature, bin),
+fd_full AS (
+  SELECT d.feature, coalesce(fcnt.rc, 0) + 1 AS r, coalesce(fcnt.cc, 0) + 1 AS c
+  FROM (SELECT feature, unnest(range(10)) AS bin FROM fb) d
+  LEFT JOIN fcnt ON d.feature = fcnt.feature AND d.bin = fcnt.bin)"""),
+    "ema_cell_update": rounded(with_base("SELECT * FROM ema", EMA_CTES),
+                               ["geo_high_priority_rate", "geo_closure_rate", "geo_avg_duration"],
+                               nudge=" + 1e-12::DOUBLE"),
+    "message_intents": rounded(with_base("""
+SELECT message_id, intent, fallback,
+  CASE WHEN intent = 'predict' THEN coalesce(latitude, 12.9716::DOUBLE) END AS latitude,
+  CASE WHEN intent = 'predict' THEN coalesce(longitude, 77.5946::DOUBLE) END AS longitude,
+  CASE WHEN intent = 'predict' THEN coalesce(hour, CAST(hour(sent_at) AS INTEGER)) END AS hour,
+  CASE WHEN intent = 'predict' THEN coalesce(event_cause, 'congestion') END AS event_cause,
+  CASE WHEN intent = 'predict' THEN coalesce(zone, 'Central Zone 2') END AS zone,
+  CASE WHEN intent = 'predict' THEN coalesce(corridor, 'Non-corridor') END AS corridor,
+  CASE WHEN intent = 'predict' THEN coalesce(day_of_week, CAST(isodow(sent_at) - 1 AS INTEGER)) END
+    AS day_of_week,
+  CASE WHEN intent = 'predict' THEN CAST(month(sent_at) AS INTEGER) END AS month,
+  hotspot_zone, explain_topic,
+  CASE WHEN intent = 'predict' THEN concat_ws(',',
+    CASE WHEN latitude IS NULL THEN 'latitude' END, CASE WHEN longitude IS NULL THEN 'longitude' END,
+    CASE WHEN hour IS NULL THEN 'hour' END, CASE WHEN event_cause IS NULL THEN 'event_cause' END,
+    CASE WHEN zone IS NULL THEN 'zone' END, CASE WHEN corridor IS NULL THEN 'corridor' END,
+    CASE WHEN day_of_week IS NULL THEN 'day_of_week' END) END AS defaulted
+FROM parsed""", MSG_CTES), ["latitude", "longitude"]),
+    "intent_mix": with_base("""
+SELECT intent, coalesce(explain_topic, '-') AS explain_topic, count(*) AS messages
+FROM parsed GROUP BY 1, 2""", MSG_CTES),
+    "compare_requests": with_base("SELECT message_id, position, name, kind FROM req", MSG_CTES),
+    "corridor_comparison": rounded(with_base("""
+SELECT r.message_id, r.position, r.name AS corridor, c.corridor_risk_score,
+  CASE WHEN c.corridor_risk_score IS NULL THEN 'not found'
+       WHEN c.corridor_risk_score > 0.7 THEN 'HIGH' WHEN c.corridor_risk_score > 0.4 THEN 'MEDIUM'
+       ELSE 'LOW' END AS risk_level
+FROM req r LEFT JOIN lk_corridor c ON lower(trim(r.name)) = c.corridor
+WHERE r.kind = 'corridor'""", MSG_CTES), ["corridor_risk_score"]),
+    "zone_comparison": with_base("""
+SELECT r.name AS zone, r.message_id, r.position,
+  CAST(coalesce(z.total_events, 0) AS BIGINT) AS total_events,
+  CAST(coalesce(z.peak_hour_events, 0) AS BIGINT) AS peak_hour_events
+FROM req r LEFT JOIN (SELECT zone, sum(zone_hour_event_count) AS total_events,
+                             max(zone_hour_event_count) AS peak_hour_events
+                      FROM lk_zone_hour GROUP BY zone) z ON r.name = z.zone
+WHERE r.kind = 'zone'""", MSG_CTES),
+    "outcome_backfill": rounded(with_base("""
+SELECT l.prediction_id, p.priority AS actual_priority,
+  CAST(p.requires_road_closure AS INTEGER) AS actual_closure,
+  p.duration_minutes AS actual_duration_min,
+  CASE WHEN p.priority IS NOT NULL THEN (l.priority_prob > 0.5) = (p.priority = 'High') END
+    AS feedback_correct
+FROM plog l LEFT JOIN prepared p ON l.prediction_id = p.incident_id""", LOG_CTES),
+        ["actual_duration_min"]),
+})

@@ -12,6 +12,17 @@ from pyspark.sql import types as T
 
 from ..operators import lookups as lk
 from ..operators.clean import prepare_incidents
+from ..operators.preprocess import CategoricalImputer, IQRCapper
+from ..functions import rules
+from ..operators import analytics as an
+from ..operators import drift as dr
+from ..operators import ema
+from ..operators import messages as msg
+from ..sources import predlog
+from ..sources.messages import derived_messages
+from ..sources.predlog import derived_log, scored_rows_from_events
+from ..sources.tables import read_table
+from .features import build_training_features
 from ..operators.split import assign_split
 from ..sources.fixture import incident_fixture
 
@@ -26,8 +37,11 @@ FEATURE_COLUMNS = [
 ]
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({f.name: F.round(F.col(f.name), digits) + F.lit(0.0)
+def round_doubles(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Round doubles for comparison.  ``nudge`` (tiny, e.g. 1e-12) makes exact
+    decimal ties -- frequent when every term is a finite decimal, as in the
+    EMA -- round the same way whatever the floating-point summation order."""
+    return df.withColumns({f.name: F.round(F.col(f.name) + F.lit(nudge), digits) + F.lit(0.0)
                            for f in df.schema.fields
                            if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
 
@@ -48,7 +62,234 @@ def q_geo_stats(spark, sf_dir):
     return round_doubles(lk.geo_stats(train_slice(spark, sf_dir)))
 
 
+def q_zone_hour_counts(spark, sf_dir):
+    return lk.zone_hour_counts(train_slice(spark, sf_dir))
+
+
+def q_corridor_risk(spark, sf_dir):
+    return round_doubles(lk.corridor_risk(train_slice(spark, sf_dir)))
+
+
+def q_cause_stats(spark, sf_dir):
+    return round_doubles(lk.cause_stats(train_slice(spark, sf_dir)))
+
+
+def q_cause_zone_closure(spark, sf_dir):
+    return round_doubles(lk.cause_zone_closure(train_slice(spark, sf_dir)))
+
+
+def q_high_risk_causes(spark, sf_dir):
+    return lk.high_risk_causes(lk.cause_stats(train_slice(spark, sf_dir)))
+
+
+def q_train_medians(spark, sf_dir):
+    train = train_slice(spark, sf_dir)
+    return round_doubles(lk.median_table(lk.join_lookups(train, lk.Lookups.fit(train))))
+
+
+def q_iqr_bounds(spark, sf_dir):
+    return round_doubles(IQRCapper.bounds_frame(train_slice(spark, sf_dir), "duration_minutes"))
+
+
+def q_category_modes(spark, sf_dir):
+    return CategoricalImputer.modes_frame(train_slice(spark, sf_dir), CategoricalImputer().mode_cols)
+
+
+TRAINING_COLUMNS = FEATURE_COLUMNS + [
+    "geo_event_count", "geo_high_priority_rate", "geo_closure_rate", "geo_avg_duration",
+    "zone_hour_event_count", "corridor_risk_score", "cause_closure_rate", "cause_avg_duration",
+    "cause_zone_closure", "geo_closure_x_peak", "geo_event_density", "duration_x_closure_risk",
+    "log_geo_event_count", "is_high_risk_cause",
+]
+
+
+def q_training_features(spark, sf_dir):
+    feats, _ = build_training_features(incident_fixture(spark, sf_dir))
+    return round_doubles(feats.select(*TRAINING_COLUMNS))
+
+
+def ts_text(df: DataFrame) -> DataFrame:
+    """Timestamps as ISO text so the comparison is time-zone free."""
+    return df.withColumns({f.name: F.date_format(F.col(f.name), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+                           for f in df.schema.fields
+                           if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))})
+
+
+def raw_incidents(spark, sf_dir):
+    return incident_fixture(spark, sf_dir)
+
+
+def q_overview_kpis(spark, sf_dir):
+    return an.overview_kpis(raw_incidents(spark, sf_dir))
+
+
+def q_cause_counts(spark, sf_dir):
+    return an.cause_counts(raw_incidents(spark, sf_dir))
+
+
+def q_hourly_counts(spark, sf_dir):
+    return an.hourly_counts(raw_incidents(spark, sf_dir))
+
+
+def q_zone_shares(spark, sf_dir):
+    return round_doubles(an.zone_shares(raw_incidents(spark, sf_dir)))
+
+
+def q_cause_priority_counts(spark, sf_dir):
+    return an.cause_priority_counts(raw_incidents(spark, sf_dir))
+
+
+def q_cause_priority_pivot(spark, sf_dir):
+    return an.cause_priority_pivot(raw_incidents(spark, sf_dir))
+
+
+def q_prediction_log(spark, sf_dir):
+    return round_doubles(ts_text(derived_log(spark, sf_dir)))
+
+
+def _log_as_of(log):
+    return log.agg(F.max("timestamp")).first()[0]
+
+
+def q_log_summary(spark, sf_dir):
+    log = derived_log(spark, sf_dir)
+    return round_doubles(an.log_summary(log, _log_as_of(log)))
+
+
+def q_recent_predictions(spark, sf_dir):
+    log = derived_log(spark, sf_dir)
+    return round_doubles(ts_text(an.last_hours(log, _log_as_of(log), 24)))
+
+
+def q_latest_predictions(spark, sf_dir):
+    log = derived_log(spark, sf_dir)
+    return round_doubles(ts_text(an.latest(log, 20).select(
+        "prediction_id", "timestamp", "event_cause", "zone", "priority_prob",
+        "closure_prob", "duration_est_min")))
+
+
+def q_recommendations(spark, sf_dir):
+    scored = scored_rows_from_events(read_table(spark, sf_dir, "events"))
+    p, c, d = F.col("priority_prob"), F.col("closure_prob"), F.col("duration_est_min")
+    recs = rules.recommendations(p, c, d, F.col("event_cause"), F.col("hour"))
+    return round_doubles(scored.select(
+        "prediction_id", recs.manpower.alias("manpower"),
+        recs.barricading.alias("barricading"), recs.diversion.alias("diversion"),
+        recs.estimated_duration_min.alias("estimated_duration_min"),
+        rules.priority_label(p).alias("priority_label"),
+        rules.closure_label(c).alias("closure_label"),
+        rules.gauge_band(p * 100).alias("priority_band"),
+        (p * 100).alias("priority_pct"), (c * 100).alias("closure_pct")))
+
+
+def q_score_histogram(spark, sf_dir):
+    log = derived_log(spark, sf_dir).withColumn("priority_pct", F.col("priority_prob") * 100)
+    return round_doubles(dr.histogram(log, "priority_pct", 20))
+
+
+def q_prediction_drift(spark, sf_dir):
+    return dr.prediction_drift(derived_log(spark, sf_dir))
+
+
+def q_log_halves(spark, sf_dir):
+    h = dr.arrival_halves(derived_log(spark, sf_dir))
+    return h.groupBy("half").agg(F.count(F.lit(1)).alias("rows"),
+                                 F.min("prediction_id").alias("first_id"),
+                                 F.max("prediction_id").alias("last_id"))
+
+
+def q_feature_drift(spark, sf_dir):
+    feats, _ = build_training_features(incident_fixture(spark, sf_dir))
+    ref = dr.fit_reference_bins(feats.filter(F.col("split") == "train"))
+    return dr.feature_drift(ref, feats.filter(F.col("split") == "test"))
+
+
+def q_ema_cell_update(spark, sf_dir):
+    prep = prepared(spark, sf_dir)
+    lookup = lk.geo_stats(prep.filter(F.col("split") == "train"))
+    events = ema.labelled_events_from_incidents(prep.filter(F.col("split") == "test"))
+    return round_doubles(ema.apply_ema(lookup, events), nudge=1e-12)
+
+
+def parsed_messages(spark, sf_dir):
+    return msg.parse_messages(derived_messages(spark, sf_dir))
+
+
+def q_message_intents(spark, sf_dir):
+    p = msg.fill_defaults(parsed_messages(spark, sf_dir))
+    return round_doubles(p.select(
+        "message_id", "intent", "fallback", "latitude", "longitude", "hour", "event_cause",
+        "zone", "corridor", "day_of_week", "month", "hotspot_zone", "explain_topic",
+        F.array_join("defaulted", ",").alias("defaulted")))
+
+
+def q_intent_mix(spark, sf_dir):
+    return msg.intent_mix(parsed_messages(spark, sf_dir))
+
+
+def q_compare_requests(spark, sf_dir):
+    p = parsed_messages(spark, sf_dir)
+    c = msg.requested_names(p, "corridor").withColumnRenamed("corridor", "name") \
+        .withColumn("kind", F.lit("corridor"))
+    z = msg.requested_names(p, "zone").withColumnRenamed("zone", "name") \
+        .withColumn("kind", F.lit("zone"))
+    return c.unionByName(z)
+
+
+def q_corridor_comparison(spark, sf_dir):
+    p = parsed_messages(spark, sf_dir)
+    req = msg.requested_names(p, "corridor")
+    return round_doubles(an.corridor_comparison(req, lk.corridor_risk(train_slice(spark, sf_dir))))
+
+
+def q_zone_comparison(spark, sf_dir):
+    p = parsed_messages(spark, sf_dir)
+    req = msg.requested_names(p, "zone")
+    return an.zone_comparison(req, lk.zone_hour_counts(train_slice(spark, sf_dir)))
+
+
+def q_outcome_backfill(spark, sf_dir):
+    log = derived_log(spark, sf_dir)
+    outcomes = prepared(spark, sf_dir).select(
+        F.col("incident_id").alias("prediction_id"), "priority", "requires_road_closure",
+        "duration_minutes")
+    out = predlog.backfill_outcomes(log, outcomes)
+    return round_doubles(out.select("prediction_id", "actual_priority", "actual_closure",
+                                    "actual_duration_min", "feedback_correct"))
+
+
 REGISTRY = {
     "incident_features": q_incident_features,
     "geo_stats": q_geo_stats,
+    "zone_hour_counts": q_zone_hour_counts,
+    "corridor_risk": q_corridor_risk,
+    "cause_stats": q_cause_stats,
+    "cause_zone_closure": q_cause_zone_closure,
+    "high_risk_causes": q_high_risk_causes,
+    "train_medians": q_train_medians,
+    "iqr_bounds": q_iqr_bounds,
+    "category_modes": q_category_modes,
+    "training_features": q_training_features,
+    "overview_kpis": q_overview_kpis,
+    "cause_counts": q_cause_counts,
+    "hourly_counts": q_hourly_counts,
+    "zone_shares": q_zone_shares,
+    "cause_priority_counts": q_cause_priority_counts,
+    "cause_priority_pivot": q_cause_priority_pivot,
+    "prediction_log": q_prediction_log,
+    "log_summary": q_log_summary,
+    "recent_predictions": q_recent_predictions,
+    "latest_predictions": q_latest_predictions,
+    "recommendations": q_recommendations,
+    "score_histogram": q_score_histogram,
+    "log_halves": q_log_halves,
+    "prediction_drift": q_prediction_drift,
+    "feature_drift": q_feature_drift,
+    "ema_cell_update": q_ema_cell_update,
+    "message_intents": q_message_intents,
+    "intent_mix": q_intent_mix,
+    "compare_requests": q_compare_requests,
+    "corridor_comparison": q_corridor_comparison,
+    "zone_comparison": q_zone_comparison,
+    "outcome_backfill": q_outcome_backfill,
 }

@@ -21,7 +21,8 @@ def _fmt(ts):
     return F.date_format(ts, TS_FORMAT)
 
 
-def incidents_from_events(events: DataFrame) -> DataFrame:
+def incidents_from_events(events: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Raw incident rows; ``keep`` passes source columns through unchanged."""
     e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
     ts = F.col("ts").cast("timestamp")
     et = F.col("event_type")
@@ -60,6 +61,7 @@ def incidents_from_events(events: DataFrame) -> DataFrame:
         _fmt(ended).alias("end_datetime"),
         _fmt(closed).alias("closed_datetime"),
         _fmt(ts).alias("created_date"),
+        *[F.col(k).alias(f"src_{k}") for k in keep],
     )
 
 
