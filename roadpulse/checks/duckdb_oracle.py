@@ -640,3 +640,131 @@ SELECT l.prediction_id, p.priority AS actual_priority,
 FROM plog l LEFT JOIN prepared p ON l.prediction_id = p.incident_id""", LOG_CTES),
         ["actual_duration_min"]),
 })
+
+# ---------------------------------------------------------------------------
+# split, sample, evaluation, gate, window, quarantine, encoding
+# ---------------------------------------------------------------------------
+SWL = LOG_CTES + """,
+swl AS (
+  SELECT l.prediction_id, l."timestamp", l.priority_prob, l.closure_prob, l.duration_est_min,
+    p.split, p.priority_binary, p.road_closure_binary, p.duration_minutes
+  FROM plog_scored l JOIN prepared p ON l.prediction_id = p.incident_id),
+swl_test AS (SELECT * FROM swl WHERE split = 'test')"""
+
+
+def _auc_sql(src: str, score: str, label: str) -> str:
+    return f"""(SELECT (sum(pos * neg_below) + 0.5 * sum(pos * neg)) / (sum(pos) * sum(neg)) AS auc,
+      CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives
+    FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+                                                 AND 1 PRECEDING), 0) AS neg_below
+          FROM (SELECT round({score}, 6) AS score, count_if({label} = 1) AS pos,
+                       count_if({label} = 0) AS neg
+                FROM {src} WHERE {score} IS NOT NULL AND {label} IS NOT NULL GROUP BY 1)))"""
+
+
+_CLS = """
+cm AS (SELECT CAST(priority_prob > 0.5 AS INTEGER) AS p, priority_binary AS y FROM swl_test),
+per AS (SELECT sum(CASE WHEN y = 0 AND p = 0 THEN 1 ELSE 0 END) AS tp0,
+          sum(CASE WHEN p = 0 THEN 1 ELSE 0 END) AS pp0, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS s0,
+          sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) AS tp1,
+          sum(CASE WHEN p = 1 THEN 1 ELSE 0 END) AS pp1, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS s1
+        FROM cm),
+pr AS (SELECT *, CASE WHEN pp0 > 0 THEN tp0 / pp0 ELSE 0.0 END AS p0,
+          CASE WHEN s0 > 0 THEN tp0 / s0 ELSE 0.0 END AS r0,
+          CASE WHEN pp1 > 0 THEN tp1 / pp1 ELSE 0.0 END AS p1,
+          CASE WHEN s1 > 0 THEN tp1 / s1 ELSE 0.0 END AS r1 FROM per),
+prf AS (SELECT *, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0,
+          CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1_, s0 + s1 AS n
+        FROM pr)"""
+
+SQL.update({
+    "split_balance": with_base(
+        "SELECT split, priority_binary, count(*) AS rows FROM prepared GROUP BY 1, 2"),
+    "seeded_sample": rounded(with_base("""
+SELECT incident_id, event_cause, zone, latitude, longitude, priority FROM prepared
+ORDER BY md5(CAST(incident_id AS VARCHAR) || '#42'), incident_id LIMIT 200"""),
+        ["latitude", "longitude"]),
+    "classification_report": rounded(with_base("""
+SELECT '0' AS label, p0 AS precision, r0 AS recall, f0 AS f1, CAST(s0 AS BIGINT) AS support FROM prf
+UNION ALL SELECT '1', p1, r1, f1_, CAST(s1 AS BIGINT) FROM prf
+UNION ALL SELECT 'accuracy', NULL, NULL, (tp0 + tp1) / n, CAST(n AS BIGINT) FROM prf
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1_) / 2, CAST(n AS BIGINT) FROM prf
+UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n,
+  (f0 * s0 + f1_ * s1) / n, CAST(n AS BIGINT) FROM prf""", SWL + "," + _CLS),
+        ["precision", "recall", "f1"]),
+    "roc_auc": rounded(with_base(f"""
+SELECT *, 'priority' AS model FROM {_auc_sql('swl_test', 'priority_prob', 'priority_binary')}
+UNION ALL
+SELECT *, 'closure' FROM {_auc_sql('swl_test', 'closure_prob', 'road_closure_binary')}""", SWL),
+        ["auc"]),
+    "best_threshold": rounded(with_base("""
+SELECT score AS threshold, f1, precision, recall FROM (
+  SELECT score, precision, recall, 2 * precision * recall / (precision + recall + 1e-8) AS f1 FROM (
+    SELECT score,
+      CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+      CASE WHEN pt > 0 THEN tp / pt ELSE 1.0 END AS recall FROM (
+      SELECT score,
+        sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+        sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+        sum(pos) OVER () AS pt
+      FROM (SELECT round(closure_prob, 6) AS score, count_if(road_closure_binary = 1) AS pos,
+                   count_if(road_closure_binary = 0) AS neg FROM swl_test
+            WHERE closure_prob IS NOT NULL GROUP BY 1))))
+ORDER BY f1 DESC, score ASC LIMIT 1""", SWL), ["threshold", "f1", "precision", "recall"]),
+    "regression_metrics": rounded(with_base("""
+SELECT avg(abs(p - y)) AS mae, quantile_cont(abs(p - y), 0.5) AS median_ae,
+  1 - sum((y - p) * (y - p)) / sum((y - my) * (y - my)) AS r2,
+  1 - sum((ly - lp) * (ly - lp)) / sum((ly - mly) * (ly - mly)) AS r2_log,
+  count(*) AS n
+FROM (SELECT p, y, ln(1 + p) AS lp, ln(1 + y) AS ly, avg(y) OVER () AS my,
+             avg(ln(1 + y)) OVER () AS mly
+      FROM (SELECT duration_est_min AS p, duration_minutes AS y FROM swl_test
+            WHERE duration_est_min IS NOT NULL AND duration_minutes IS NOT NULL))""", SWL),
+        ["mae", "median_ae", "r2", "r2_log"]),
+    "promotion_gate": rounded(with_base(f"""
+SELECT model, current_metric, new_metric, current_metric * 0.95 AS threshold,
+  CASE WHEN new_metric >= current_metric * (1 - 0.05) THEN 'PROMOTE' ELSE 'REJECT' END AS decision
+FROM (
+  SELECT 'priority' AS model,
+    (SELECT auc FROM {_auc_sql('h_ref', 'priority_prob', 'priority_binary')}) AS current_metric,
+    (SELECT auc FROM {_auc_sql('h_cur', 'priority_prob', 'priority_binary')}) AS new_metric
+  UNION ALL
+  SELECT 'closure',
+    (SELECT auc FROM {_auc_sql('h_ref', 'closure_prob', 'road_closure_binary')}),
+    (SELECT auc FROM {_auc_sql('h_cur', 'closure_prob', 'road_closure_binary')}))""",
+        SWL + """,
+swl_half AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY "timestamp", prediction_id)
+                     <= (SELECT count(*) FROM swl) // 2 THEN 'ref' ELSE 'cur' END AS half FROM swl),
+h_ref AS (SELECT * FROM swl_half WHERE half = 'ref'),
+h_cur AS (SELECT * FROM swl_half WHERE half = 'cur')"""),
+        ["current_metric", "new_metric", "threshold"]),
+    "retrain_window": with_base("""
+SELECT CAST(6 AS INTEGER) AS window_months, full_rows, window_rows,
+  CASE WHEN window_rows < 100 THEN 'full' ELSE 'window' END AS source,
+  CASE WHEN window_rows < 100 THEN full_rows ELSE window_rows END AS used_rows,
+  CASE WHEN (CASE WHEN window_rows < 100 THEN full_rows ELSE window_rows END) < 200
+       THEN 'SKIPPED' ELSE 'READY' END AS status
+FROM (SELECT count(*) AS full_rows,
+        CAST(count_if(start_datetime >= (SELECT max(start_datetime) FROM prepared)
+                                        - INTERVAL 6 MONTH) AS BIGINT) AS window_rows
+      FROM prepared)"""),
+    "request_quarantine": with_base(f"""
+SELECT request_id, reasons = '' AS valid, reasons FROM (
+  SELECT incident_id AS request_id, concat_ws(',',
+    CASE WHEN NOT coalesce(latitude BETWEEN 12.75{D} AND 13.30{D}, false) THEN 'latitude_out_of_range' END,
+    CASE WHEN NOT coalesce(longitude BETWEEN 77.25{D} AND 77.85{D}, false) THEN 'longitude_out_of_range' END,
+    CASE WHEN NOT coalesce(h BETWEEN 0 AND 23, false) THEN 'hour_out_of_range' END,
+    CASE WHEN NOT coalesce(d BETWEEN 0 AND 6, false) THEN 'day_of_week_out_of_range' END,
+    CASE WHEN NOT coalesce(m BETWEEN 1 AND 12, false) THEN 'month_out_of_range' END) AS reasons
+  FROM (SELECT incident_id, latitude, longitude,
+          hour(TRY_CAST(start_datetime AS TIMESTAMP)) AS h,
+          isodow(TRY_CAST(start_datetime AS TIMESTAMP)) - 1 AS d,
+          month(TRY_CAST(start_datetime AS TIMESTAMP)) AS m FROM incidents_raw))"""),
+    "target_encoding": rounded(with_base(" UNION ALL ".join(f"""
+SELECT '{c}' AS "column", {c} AS category,
+  w * m + (1 - w) * (SELECT avg(priority_binary) FROM features2 WHERE split = 'train') AS encoding
+FROM (SELECT {c}, avg(priority_binary) AS m, 1 / (1 + exp(-(count(*) - 20) / 5.0)) AS w
+      FROM features2 WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c})"""
+        for c in ["event_cause", "veh_type", "corridor", "police_station", "zone", "junction"])),
+        ["encoding"]),
+})

@@ -22,7 +22,13 @@ from ..sources import predlog
 from ..sources.messages import derived_messages
 from ..sources.predlog import derived_log, scored_rows_from_events
 from ..sources.tables import read_table
-from .features import build_training_features
+from ..operators import dbscan as dbs
+from ..operators import metrics as mt
+from ..operators.clean import clustered_only, quarantine_split
+from ..operators.preprocess import TargetEncoder
+from ..operators.split import seeded_sample
+from . import retrain
+from .features import TARGET_ENC_COLS, build_training_features
 from ..operators.split import assign_split
 from ..sources.fixture import incident_fixture
 
@@ -258,6 +264,123 @@ def q_outcome_backfill(spark, sf_dir):
                                     "actual_duration_min", "feedback_correct"))
 
 
+def q_split_balance(spark, sf_dir):
+    return (prepared(spark, sf_dir).groupBy("split", "priority_binary")
+            .agg(F.count(F.lit(1)).alias("rows")))
+
+
+def q_seeded_sample(spark, sf_dir):
+    return round_doubles(seeded_sample(prepared(spark, sf_dir), 200).select(
+        "incident_id", "event_cause", "zone", "latitude", "longitude", "priority"))
+
+
+def scored_with_labels(spark, sf_dir):
+    """Log scores joined to the observed labels of the same incidents."""
+    log = derived_log(spark, sf_dir).select("prediction_id", "timestamp", "priority_prob",
+                                            "closure_prob", "duration_est_min")
+    lab = prepared(spark, sf_dir).select(
+        F.col("incident_id").alias("prediction_id"), "split", "priority_binary",
+        "road_closure_binary", "duration_minutes")
+    return log.join(lab, "prediction_id")
+
+
+def q_classification_report(spark, sf_dir):
+    d = scored_with_labels(spark, sf_dir).filter(F.col("split") == "test")
+    d = d.withColumn("pred", (F.col("priority_prob") > 0.5).cast("int"))
+    return round_doubles(mt.classification_report(d, "pred", "priority_binary"))
+
+
+def q_roc_auc(spark, sf_dir):
+    d = scored_with_labels(spark, sf_dir).filter(F.col("split") == "test")
+    a = mt.roc_auc(d, "priority_prob", "priority_binary").withColumn("model", F.lit("priority"))
+    b = mt.roc_auc(d, "closure_prob", "road_closure_binary").withColumn("model", F.lit("closure"))
+    return round_doubles(a.unionByName(b))
+
+
+def q_best_threshold(spark, sf_dir):
+    d = scored_with_labels(spark, sf_dir).filter(F.col("split") == "test")
+    return round_doubles(mt.best_threshold(d, "closure_prob", "road_closure_binary"))
+
+
+def q_regression_metrics(spark, sf_dir):
+    d = scored_with_labels(spark, sf_dir).filter(F.col("split") == "test")
+    return round_doubles(mt.regression_metrics(d, "duration_est_min", "duration_minutes"))
+
+
+def q_promotion_gate(spark, sf_dir):
+    d = dr.arrival_halves(scored_with_labels(spark, sf_dir))
+    out = None
+    for model, score, label in (("priority", "priority_prob", "priority_binary"),
+                                ("closure", "closure_prob", "road_closure_binary")):
+        cur = mt.roc_auc(d.filter(F.col("half") == "ref"), score, label).select(
+            F.col("auc").alias("current_metric"))
+        new = mt.roc_auc(d.filter(F.col("half") == "cur"), score, label).select(
+            F.col("auc").alias("new_metric"))
+        row = (cur.withColumn("model", F.lit(model))
+               .join(new.withColumn("model", F.lit(model)), "model"))
+        out = row if out is None else out.unionByName(row)
+    out = out.withColumns({"threshold": F.col("current_metric") * 0.95,
+                           "decision": mt.promotion_decision(F.col("new_metric"),
+                                                             F.col("current_metric"))})
+    return round_doubles(out)
+
+
+def q_retrain_window(spark, sf_dir):
+    return retrain.window_summary(prepared(spark, sf_dir), months=6)
+
+
+def q_request_quarantine(spark, sf_dir):
+    raw = incident_fixture(spark, sf_dir)
+    ts = F.try_to_timestamp(F.col("start_datetime"))
+    req = raw.select(F.col("incident_id").alias("request_id"), "latitude", "longitude",
+                     F.hour(ts).alias("hour"), F.weekday(ts).alias("day_of_week"),
+                     F.month(ts).alias("month"))
+    ok, bad = quarantine_split(req)
+    return (ok.select("request_id", F.lit(True).alias("valid"), F.lit("").alias("reasons"))
+            .unionByName(bad.select("request_id", F.lit(False).alias("valid"),
+                                    F.array_join("reject_reasons", ",").alias("reasons"))))
+
+
+def q_target_encoding(spark, sf_dir):
+    feats, _ = build_training_features(incident_fixture(spark, sf_dir))
+    train = feats.filter(F.col("split") == "train")
+    enc = TargetEncoder(TARGET_ENC_COLS, "priority_binary").fit(train)
+    out = None
+    for c, tbl in enc.tables.items():
+        t = tbl.select(F.lit(c).alias("column"), F.col(c).alias("category"),
+                       F.col("_enc").alias("encoding"))
+        out = t if out is None else out.unionByName(t)
+    return round_doubles(out)
+
+
+def dbscan_points(spark, sf_dir):
+    prep = prepared(spark, sf_dir)
+    labels = dbs.dbscan(prep.select(F.col("incident_id").alias("id"), "latitude", "longitude"))
+    return dbs.cluster_points(prep, labels)
+
+
+def q_dbscan_labels(spark, sf_dir):
+    return dbscan_points(spark, sf_dir).select("id", "cluster", "is_core")
+
+
+def q_cluster_profiles(spark, sf_dir):
+    return round_doubles(dbs.cluster_profiles(dbscan_points(spark, sf_dir)))
+
+
+def q_top_hotspots(spark, sf_dir):
+    return round_doubles(an.top_clusters(dbs.cluster_profiles(dbscan_points(spark, sf_dir)), 5))
+
+
+def q_zone_hotspots(spark, sf_dir):
+    pts = dbscan_points(spark, sf_dir)
+    return round_doubles(dbs.profiles_by_zone(dbs.cluster_profiles(pts), pts))
+
+
+def q_clustered_points(spark, sf_dir):
+    return round_doubles(clustered_only(dbscan_points(spark, sf_dir)).select(
+        "id", "latitude", "longitude", "cluster", "event_cause", "priority"))
+
+
 REGISTRY = {
     "incident_features": q_incident_features,
     "geo_stats": q_geo_stats,
@@ -292,4 +415,19 @@ REGISTRY = {
     "corridor_comparison": q_corridor_comparison,
     "zone_comparison": q_zone_comparison,
     "outcome_backfill": q_outcome_backfill,
+    "split_balance": q_split_balance,
+    "seeded_sample": q_seeded_sample,
+    "classification_report": q_classification_report,
+    "roc_auc": q_roc_auc,
+    "best_threshold": q_best_threshold,
+    "regression_metrics": q_regression_metrics,
+    "promotion_gate": q_promotion_gate,
+    "retrain_window": q_retrain_window,
+    "request_quarantine": q_request_quarantine,
+    "target_encoding": q_target_encoding,
+    "dbscan_labels": q_dbscan_labels,
+    "cluster_profiles": q_cluster_profiles,
+    "top_hotspots": q_top_hotspots,
+    "zone_hotspots": q_zone_hotspots,
+    "clustered_points": q_clustered_points,
 }
