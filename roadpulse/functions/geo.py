@@ -46,10 +46,11 @@ def _interleave(lon_i: Column, lat_i: Column, lon_bits: int, lat_bits: int) -> C
     for pos in range(total):  # pos 0 = most significant interleaved bit
         src, bit = (lon_i, lon_bits - 1 - pos // 2) if pos % 2 == 0 else (lat_i, lat_bits - 1 - pos // 2)
         terms.append(F.shiftleft(F.shiftright(src, bit).bitwiseAND(F.lit(1)), total - 1 - pos))
-    code = terms[0]
-    for t in terms[1:]:
-        code = code.bitwiseOR(t)
-    return code
+    # balanced OR tree: shallow expressions keep generated code small
+    while len(terms) > 1:
+        terms = [terms[i].bitwiseOR(terms[i + 1]) if i + 1 < len(terms) else terms[i]
+                 for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def _encode(code: Column, precision: int) -> Column:

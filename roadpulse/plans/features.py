@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..operators import lookups as lk
 from ..operators.clean import prepare_incidents
 from ..operators.preprocess import CategoricalImputer, IQRCapper
 from ..operators.split import assign_split
+from ..session import checkpoint_dir
 
 TARGET_ENC_COLS = ["event_cause", "veh_type", "corridor", "police_station", "zone", "junction"]
 
@@ -68,15 +70,33 @@ def enrich(df: DataFrame, state: FeatureState) -> DataFrame:
 
 
 def fit_feature_state(train: DataFrame, exact_medians: bool = True) -> FeatureState:
-    lookups = lk.Lookups.fit(train)
-    joined = lk.join_lookups(train, lookups)
-    medians = lk.median_table(joined, exact_medians).first().asDict()
-    capper = IQRCapper("duration_minutes", 1.5).fit(train)
-    imputer = CategoricalImputer().fit(train)
+    """Fit lookups, medians, IQR bounds and modes on the training slice.
+
+    The slice is persisted (memory, spilling to disk; lost blocks recompute
+    from the scan) only while the fit runs; the lookups -- small keyed
+    aggregates -- stay materialised for the joins that follow.
+    """
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        lookups = lk.Lookups.fit(train)
+        for _, t in lookups.items():
+            t.persist(StorageLevel.MEMORY_AND_DISK).count()
+        joined = lk.join_lookups(train, lookups)
+        medians = lk.median_table(joined, exact_medians).first().asDict()
+        capper = IQRCapper("duration_minutes", 1.5).fit(train)
+        imputer = CategoricalImputer().fit(train)
+    finally:
+        train.unpersist()
     return FeatureState(lookups, {k: float(v) for k, v in medians.items() if v is not None},
                         capper, imputer)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing to the session's shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def build_training_features(raw: DataFrame, seed: int = 42, test_fraction: float = 0.2
                             ) -> tuple[DataFrame, FeatureState]:
     """Featured rows of both slices (column ``split``) and the fitted state."""

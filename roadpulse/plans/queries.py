@@ -27,8 +27,8 @@ from ..operators import metrics as mt
 from ..operators.clean import clustered_only, quarantine_split
 from ..operators.preprocess import TargetEncoder
 from ..operators.split import seeded_sample
-from . import retrain
-from .features import TARGET_ENC_COLS, build_training_features
+from . import retrain, training
+from .features import TARGET_ENC_COLS, build_training_features, materialize
 from ..operators.split import assign_split
 from ..sources.fixture import incident_fixture
 
@@ -205,7 +205,7 @@ def q_log_halves(spark, sf_dir):
 
 
 def q_feature_drift(spark, sf_dir):
-    feats, _ = build_training_features(incident_fixture(spark, sf_dir))
+    feats = materialize(build_training_features(incident_fixture(spark, sf_dir))[0])
     ref = dr.fit_reference_bins(feats.filter(F.col("split") == "train"))
     return dr.feature_drift(ref, feats.filter(F.col("split") == "test"))
 
@@ -342,7 +342,7 @@ def q_request_quarantine(spark, sf_dir):
 
 
 def q_target_encoding(spark, sf_dir):
-    feats, _ = build_training_features(incident_fixture(spark, sf_dir))
+    feats = materialize(build_training_features(incident_fixture(spark, sf_dir))[0])
     train = feats.filter(F.col("split") == "train")
     enc = TargetEncoder(TARGET_ENC_COLS, "priority_binary").fit(train)
     out = None
@@ -381,6 +381,41 @@ def q_clustered_points(spark, sf_dir):
         "id", "latitude", "longitude", "cluster", "event_cause", "priority"))
 
 
+# trained once per (session, scale) and shared by the model queries below
+_BUNDLES: dict = {}
+REGISTERED_TRAIN_CONFIG = dict(trials=2, folds=2, stack_folds=3, max_iter=8, parallelism=6)
+
+
+def trained(spark, sf_dir):
+    key = (id(spark), sf_dir)
+    if key not in _BUNDLES:
+        feats, state = build_training_features(incident_fixture(spark, sf_dir))
+        feats = materialize(feats)
+        bundle = training.fit_bundle(feats, state, training.TrainConfig(**REGISTERED_TRAIN_CONFIG))
+        _BUNDLES[key] = (feats, bundle)
+    return _BUNDLES[key]
+
+
+def q_model_evaluation(spark, sf_dir):
+    feats, bundle = trained(spark, sf_dir)
+    return training.evaluate(bundle, feats)
+
+
+def q_feature_importances(spark, sf_dir):
+    _, bundle = trained(spark, sf_dir)
+    imp = training.feature_importances(bundle.priority)
+    return imp.orderBy(F.desc("importance"), F.asc("feature")).limit(10)
+
+
+def q_scored_incidents(spark, sf_dir):
+    feats, bundle = trained(spark, sf_dir)
+    s = training.score(bundle, feats.filter(F.col("split") == "test"))
+    return s.select("incident_id", "priority_prob", "closure_prob", "duration_est_min",
+                    "priority_label", "closure_label", "recommendations.manpower",
+                    "recommendations.barricading", "recommendations.diversion",
+                    "recommendations.priority_score", "recommendations.closure_risk")
+
+
 REGISTRY = {
     "incident_features": q_incident_features,
     "geo_stats": q_geo_stats,
@@ -430,4 +465,7 @@ REGISTRY = {
     "top_hotspots": q_top_hotspots,
     "zone_hotspots": q_zone_hotspots,
     "clustered_points": q_clustered_points,
+    "model_evaluation": q_model_evaluation,
+    "feature_importances": q_feature_importances,
+    "scored_incidents": q_scored_incidents,
 }
