@@ -419,7 +419,7 @@ m2 AS (
     {_contains_chain('low', _kw.DAY_KEYWORDS, longest=False)} AS day_v
   FROM m1),
 m3 AS (
-  SELECT *, least(greatest(h_raw, 0), 23) AS hour_v,
+  SELECT *, CASE WHEN h_raw IS NOT NULL THEN least(greatest(h_raw, 0), 23) END AS hour_v,
     CASE WHEN low IN ({_HELP}) THEN 'help'
          WHEN {_any_sql('low', _kw.STATUS_WORDS)} THEN 'status'
          WHEN {_any_sql('low', _kw.COMPARE_WORDS)} THEN 'compare'

@@ -35,6 +35,11 @@ def status(psi: Column, labels=PREDICTION_STATUS) -> Column:
             .otherwise(labels[2]))
 
 
+def status_label(psi: float, labels=PREDICTION_STATUS) -> str:
+    """D-4 on a driver scalar."""
+    return labels[0] if psi < PSI_CUTS[0] else labels[1] if psi < PSI_CUTS[1] else labels[2]
+
+
 def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> DataFrame:
     """A-19: fixed-count histogram per group; width = (max-min)/bins, or 1 when 0."""
     by = list(by)
