@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules
 from ..schema import PREDICTION_LOG
@@ -65,7 +66,8 @@ def read_log(spark: SparkSession, path: str, fmt: str = "parquet",
              encoding: str = "utf-8") -> DataFrame:
     """IO-2 scan with the explicit schema; CSV logs may be cp1252."""
     if fmt == "csv":
-        df = (spark.read.schema(PREDICTION_LOG.add("log_date", "date"))
+        schema = T.StructType(PREDICTION_LOG.fields + [T.StructField("log_date", T.DateType())])
+        df = (spark.read.schema(schema)
               .option("header", True).option("encoding", encoding).csv(path))
     else:
         df = spark.read.parquet(path)
