@@ -768,3 +768,20 @@ FROM (SELECT {c}, avg(priority_binary) AS m, 1 / (1 + exp(-(count(*) - 20) / 5.0
         for c in ["event_cause", "veh_type", "corridor", "police_station", "zone", "junction"])),
         ["encoding"]),
 })
+
+_MON = """
+  count(*) AS predictions, avg(priority_prob) AS avg_priority_prob,
+  avg(closure_prob) AS avg_closure_prob"""
+SQL.update({
+    "hourly_monitoring": rounded(with_base(f"""
+SELECT strftime(ws, {_TSF}) AS window_start, strftime(ws + INTERVAL 1 HOUR, {_TSF}) AS window_end,
+  {_MON}
+FROM (SELECT date_trunc('hour', "timestamp") AS ws, priority_prob, closure_prob FROM plog)
+GROUP BY ws""", LOG_CTES), ["avg_priority_prob", "avg_closure_prob"]),
+    "rolling_monitoring": rounded(with_base(f"""
+SELECT strftime(ws, {_TSF}) AS window_start, strftime(ws + INTERVAL 24 HOUR, {_TSF}) AS window_end,
+  {_MON}
+FROM (SELECT date_trunc('hour', "timestamp") - k * INTERVAL 1 HOUR AS ws, priority_prob, closure_prob
+      FROM plog, (SELECT unnest(generate_series(0, 23)) AS k) g)
+GROUP BY ws""", LOG_CTES), ["avg_priority_prob", "avg_closure_prob"]),
+})

@@ -23,6 +23,9 @@ from ..sources.messages import derived_messages
 from ..sources.predlog import derived_log, scored_rows_from_events
 from ..sources.tables import read_table
 from ..operators import dbscan as dbs
+from ..operators import explain as explain_op
+from ..operators import smote as smote_op
+from ..streaming import jobs as st_jobs
 from ..operators import metrics as mt
 from ..operators.clean import clustered_only, quarantine_split
 from ..operators.preprocess import TargetEncoder
@@ -416,6 +419,46 @@ def q_scored_incidents(spark, sf_dir):
                     "recommendations.priority_score", "recommendations.closure_risk")
 
 
+def q_hourly_monitoring(spark, sf_dir):
+    log = derived_log(spark, sf_dir)
+    hourly, _ = st_jobs.monitoring_frames(log)
+    return round_doubles(ts_text(hourly))
+
+
+def q_rolling_monitoring(spark, sf_dir):
+    log = derived_log(spark, sf_dir)
+    _, rolling = st_jobs.monitoring_frames(log)
+    return round_doubles(ts_text(rolling))
+
+
+SMOTE_FEATURES = ["latitude", "longitude", "hour", "geo_event_count", "geo_closure_rate",
+                  "zone_hour_event_count", "cause_closure_rate", "cause_avg_duration"]
+
+
+def q_smote_balance(spark, sf_dir):
+    feats, _ = trained(spark, sf_dir)
+    train = feats.filter(F.col("split") == "train").select(
+        "incident_id", "road_closure_binary", *SMOTE_FEATURES)
+    out = smote_op.smote(train, "road_closure_binary", SMOTE_FEATURES, "incident_id")
+    return out.groupBy("road_closure_binary", "synthetic").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("latitude").alias("mean_latitude"))
+
+
+def _contribs(spark, sf_dir):
+    feats, bundle = trained(spark, sf_dir)
+    return explain_op.contributions(bundle.priority, feats.filter(F.col("split") == "test"),
+                                    "incident_id")
+
+
+def q_explanation_global(spark, sf_dir):
+    return explain_op.global_importance(_contribs(spark, sf_dir), 20)
+
+
+def q_explanation_factors(spark, sf_dir):
+    top = explain_op.top_factors(_contribs(spark, sf_dir), "incident_id", 5)
+    return explain_op.factor_text(top, "incident_id")
+
+
 REGISTRY = {
     "incident_features": q_incident_features,
     "geo_stats": q_geo_stats,
@@ -468,4 +511,9 @@ REGISTRY = {
     "model_evaluation": q_model_evaluation,
     "feature_importances": q_feature_importances,
     "scored_incidents": q_scored_incidents,
+    "hourly_monitoring": q_hourly_monitoring,
+    "rolling_monitoring": q_rolling_monitoring,
+    "smote_balance": q_smote_balance,
+    "explanation_global": q_explanation_global,
+    "explanation_factors": q_explanation_factors,
 }
