@@ -785,3 +785,61 @@ FROM (SELECT date_trunc('hour', "timestamp") - k * INTERVAL 1 HOUR AS ws, priori
       FROM plog, (SELECT unnest(generate_series(0, 23)) AS k) g)
 GROUP BY ws""", LOG_CTES), ["avg_priority_prob", "avg_closure_prob"]),
 })
+
+# DBSCAN by brute force: haversine band self-join, core counts, transitive
+# closure over core-core edges (recursive CTE), border -> lowest cluster.
+_EPS = "radians(0.005)"
+DBSCAN_CTES = f"""
+pts AS (SELECT incident_id AS id, latitude AS lat, longitude AS lon, event_cause, priority, zone
+        FROM prepared),
+nb AS (
+  SELECT a.id AS a, b.id AS b
+  FROM pts a JOIN pts b ON abs(a.lat - b.lat) <= 0.0051{D} AND abs(a.lon - b.lon) <= 0.0060{D}
+  WHERE 2 * asin(sqrt(least(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2)
+        + cos(radians(a.lat)) * cos(radians(b.lat))
+          * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2), 1.0{D}))) <= {_EPS}),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= 10),
+cedge AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id),
+reach(src, dst) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT r.src, e.b FROM reach r JOIN cedge e ON r.dst = e.a),
+comp AS (SELECT src AS id, min(dst) AS label FROM reach GROUP BY src),
+cnum AS (SELECT label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster
+         FROM (SELECT DISTINCT label FROM comp)),
+core_lab AS (SELECT c.id, n.cluster FROM comp c JOIN cnum n USING (label)),
+border AS (
+  SELECT nb.a AS id, min(cl.cluster) AS cluster FROM nb JOIN core_lab cl ON nb.b = cl.id
+  WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+labels AS (
+  SELECT p.id, coalesce(cl.cluster, b.cluster, -1) AS cluster, cl.id IS NOT NULL AS is_core
+  FROM pts p LEFT JOIN core_lab cl ON p.id = cl.id LEFT JOIN border b ON p.id = b.id),
+cpoints AS (SELECT p.id, p.lat AS latitude, p.lon AS longitude, p.event_cause, p.priority,
+                   p.zone, l.cluster, l.is_core FROM pts p JOIN labels l USING (id)),
+top_cause AS (
+  SELECT cluster, event_cause AS top_cause FROM (
+    SELECT cluster, event_cause, row_number() OVER (PARTITION BY cluster
+                                                    ORDER BY count(*) DESC, event_cause) AS rk
+    FROM cpoints WHERE cluster >= 0 AND event_cause IS NOT NULL GROUP BY cluster, event_cause)
+  WHERE rk = 1),
+profiles AS (
+  SELECT c.cluster, count(c.event_cause) AS event_count,
+    avg(CASE WHEN c.priority = 'High' THEN 1 ELSE 0 END) * 100 AS high_priority_pct,
+    avg(c.latitude) AS centroid_lat, avg(c.longitude) AS centroid_lon, t.top_cause
+  FROM cpoints c LEFT JOIN top_cause t USING (cluster) WHERE c.cluster >= 0
+  GROUP BY c.cluster, t.top_cause)"""
+_PROF = ["high_priority_pct", "centroid_lat", "centroid_lon"]
+SQL.update({
+    "dbscan_labels": with_base("SELECT id, cluster, is_core FROM labels", DBSCAN_CTES),
+    "cluster_profiles": rounded(with_base("SELECT * FROM profiles", DBSCAN_CTES), _PROF,
+                                nudge=" + 1e-12::DOUBLE"),
+    "top_hotspots": rounded(with_base(
+        "SELECT * FROM profiles ORDER BY event_count DESC, cluster ASC LIMIT 5", DBSCAN_CTES), _PROF,
+        nudge=" + 1e-12::DOUBLE"),
+    "zone_hotspots": rounded(with_base("""
+SELECT h.zone, p.* FROM (SELECT DISTINCT zone, cluster FROM cpoints WHERE cluster >= 0) h
+JOIN profiles p USING (cluster)""", DBSCAN_CTES), _PROF, nudge=" + 1e-12::DOUBLE"),
+    "clustered_points": rounded(with_base("""
+SELECT id, latitude, longitude, cluster, event_cause, priority FROM cpoints WHERE cluster >= 0""",
+        DBSCAN_CTES), ["latitude", "longitude"]),
+})
