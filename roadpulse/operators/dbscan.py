@@ -95,14 +95,14 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
                          F.col("cj").alias("qj"))
     ss = (sp_a.join(sp_b, ["qi", "qj"])
           .filter(haversine_rad(F.col("lat"), F.col("lon"), F.col("qlat"), F.col("qlon")) <= eps)
-          .select("id", "qid"))
+          .select("id", "qid")).checkpoint()  # reused by counts, edges and borders
 
     # --- sparse point vs dense micro-cells -------------------------------
     mc = micro_cells.select(F.col("ci").alias("qi"), F.col("cj").alias("qj"), "mi", "mj",
                             "mn", "mlat", "mlon")
     sm = (sp_a.join(mc, ["qi", "qj"])
           .withColumn("_d", haversine_rad(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon")))
-          .filter(F.col("_d") <= eps + r_micro))
+          .filter(F.col("_d") <= eps + r_micro)).checkpoint()
     certain = F.col("_d") <= eps - r_micro
     sm_certain = sm.filter(certain).select("id", "qi", "qj", "mn")
     dp = dense_pts.select(F.col("id").alias("qid"), F.col("lat").alias("qlat"),
@@ -111,7 +111,7 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
                  .join(dp, ["mi", "mj"])
                  .filter(haversine_rad(F.col("lat"), F.col("lon"), F.col("qlat"),
                                        F.col("qlon")) <= eps)
-                 .select("id", "qi", "qj"))
+                 .select("id", "qi", "qj")).checkpoint()
 
     counts = (ss.groupBy("id").agg(F.count(F.lit(1)).alias("n1"))
               .join(sm_certain.groupBy("id").agg(F.sum("mn").alias("n2")), "id", "full_outer")
