@@ -39,18 +39,35 @@ def _cell_index(x: Column, lo: float, hi: float, bits: int) -> Column:
     return F.least(F.greatest(q1, F.lit(0)), F.lit(n - 1))
 
 
+def _spread_table() -> list[int]:
+    """spread(i): bit b of i moved to bit 2b, for every 8-bit i (built by rule)."""
+    return [sum(((i >> b) & 1) << (2 * b) for b in range(8)) for i in range(256)]
+
+
+_SPREAD8 = _spread_table()
+
+
+def _spread(v: Column, bits: int) -> Column:
+    """Morton spread of a <= 32-bit index via 8-bit table lookups.
+
+    ``v`` is referenced once per 8-bit chunk (2 for a 15-bit index), so the
+    expression stays small even when the optimizer inlines ``v``.
+    """
+    table = F.array(*[F.lit(x).cast("long") for x in _SPREAD8])
+    out = None
+    for c in range((bits + 7) // 8):
+        chunk = F.shiftright(v, 8 * c).bitwiseAND(F.lit(255))
+        part = F.shiftleft(F.element_at(table, (chunk + 1).cast("int")), 16 * c)
+        out = part if out is None else out.bitwiseOR(part)
+    return out
+
+
 def _interleave(lon_i: Column, lat_i: Column, lon_bits: int, lat_bits: int) -> Column:
-    """Bit-interleave the two indices, longitude first (linear expression)."""
-    total = lon_bits + lat_bits
-    terms = []
-    for pos in range(total):  # pos 0 = most significant interleaved bit
-        src, bit = (lon_i, lon_bits - 1 - pos // 2) if pos % 2 == 0 else (lat_i, lat_bits - 1 - pos // 2)
-        terms.append(F.shiftleft(F.shiftright(src, bit).bitwiseAND(F.lit(1)), total - 1 - pos))
-    # balanced OR tree: shallow expressions keep generated code small
-    while len(terms) > 1:
-        terms = [terms[i].bitwiseOR(terms[i + 1]) if i + 1 < len(terms) else terms[i]
-                 for i in range(0, len(terms), 2)]
-    return terms[0]
+    """Bit-interleave the two indices, longitude taking the top bit."""
+    lon_s, lat_s = _spread(lon_i, lon_bits), _spread(lat_i, lat_bits)
+    if (lon_bits + lat_bits) % 2 == 0:
+        return F.shiftleft(lon_s, 1).bitwiseOR(lat_s)
+    return lon_s.bitwiseOR(F.shiftleft(lat_s, 1))
 
 
 def _encode(code: Column, precision: int) -> Column:
