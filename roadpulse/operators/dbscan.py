@@ -6,7 +6,7 @@ counts the point itself, a neighbour is at central angle <= eps.  Clusters
 are numbered 0.. by their smallest core-point id; a border point joins the
 lowest-numbered adjacent cluster; the rest is noise (-1).
 
-Work is bounded without an all-pairs step inside any group:
+No all-pairs step runs inside a dense group:
 
 * points fall in *cells* of side eps/2 (degrees, both axes); any two points
   of one cell are neighbours (meridian + parallel path <= eps/2 + eps/2), so
@@ -15,7 +15,8 @@ Work is bounded without an all-pairs step inside any group:
   centre).  For a micro-cell of side m the triangle inequality bounds every
   member's distance to a target within ``d(centre) +- radians(m)``, so a
   micro-cell is either certainly inside eps, certainly outside, or
-  uncertain; only uncertain micro-cells are expanded to points;
+  uncertain; only uncertain micro-cells are expanded to points (two hot
+  micro-cells at about eps from each other remain a quadratic case);
 * points of sparse cells (< min_samples each) are compared point-to-point
   with the sparse points of the surrounding cells -- at most
   (cells in reach) x (min_samples - 1) candidates per point;
