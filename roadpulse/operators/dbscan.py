@@ -29,10 +29,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_rad
+from .ordering import dense_index
 from ..session import checkpoint_dir
 
 EPS_DEG = 0.005
@@ -170,8 +171,7 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
     labels = _components(nodes, edges, max_rounds)
 
     # --- number clusters by smallest core id ------------------------------
-    order = labels.select("label").distinct().withColumn(
-        "cluster", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))
+    order = dense_index(labels, "label", "cluster")
     node_cluster = labels.join(order, "label").select("node", "cluster").checkpoint()
 
     dense_lab = (pts.filter(F.col("dense"))
