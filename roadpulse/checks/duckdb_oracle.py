@@ -382,7 +382,7 @@ _WORDS = "[" + ", ".join(_q(k) for k, _ in _kw.CAUSE_KEYWORDS) + "]"
 _SAMPLES = "[" + ", ".join(_q(t) for t in _kw.SAMPLE_MESSAGES) + "]"
 _HELP = ", ".join(_q(h) for h in _kw.HELP_EXACT)
 
-MSG_CTES = f"""
+MSGS_FIXTURE = f"""
 msgs AS (
   SELECT incident_id AS message_id, src_ts AS sent_at,
     CASE WHEN incident_id % 7 = 0 THEN {_SAMPLES}[((incident_id // 7) % {len(_kw.SAMPLE_MESSAGES)}) + 1]
@@ -391,9 +391,10 @@ msgs AS (
               || printf('%.4f', coalesce(longitude, 0.0{D})) || ' at '
               || CAST(incident_id % 12 + 1 AS VARCHAR)
               || CASE WHEN incident_id % 2 = 0 THEN 'am' ELSE 'pm' END END AS text
-  FROM incidents_raw),
+  FROM incidents_raw)"""
+PARSE_CTES = f"""
 m1 AS (
-  SELECT message_id, sent_at, text, lower(trim(text)) AS low,
+  SELECT message_id, sent_at, text, lower(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))) AS low,
     regexp_extract(text, {_q(_kw.LAT_LON_PATTERN)}, 1) AS lat_s,
     regexp_extract(text, {_q(_kw.LAT_LON_PATTERN)}, 2) AS lon_s
   FROM msgs),
@@ -453,6 +454,11 @@ req AS (
           ON p.intent = 'compare' AND contains(p.low, k.kw))
   GROUP BY message_id, kind, name)"""
 
+MSG_CTES = MSGS_FIXTURE + "," + PARSE_CTES
+CONV_CTES = """
+msgs AS (SELECT conv_id * 1000 + turn AS message_id, NULL::TIMESTAMP AS sent_at, text
+         FROM conversations),""" + PARSE_CTES
+
 EMA_CTES = f"""
 ev AS (
   SELECT geohash6, start_datetime AS ts, incident_id AS id,
@@ -843,3 +849,9 @@ JOIN profiles p USING (cluster)""", DBSCAN_CTES), _PROF, nudge=" + 1e-12::DOUBLE
 SELECT id, latitude, longitude, cluster, event_cause, priority FROM cpoints WHERE cluster >= 0""",
         DBSCAN_CTES), ["latitude", "longitude"]),
 })
+
+SQL.update({
+    "conversation_intents": rounded(with_base("""
+SELECT message_id, intent, fallback, latitude, longitude, hour, event_cause, zone, corridor,
+  day_of_week, hotspot_zone, explain_topic FROM parsed""", CONV_CTES), ["latitude", "longitude"]),
+})

@@ -19,7 +19,7 @@ from ..operators import drift as dr
 from ..operators import ema
 from ..operators import messages as msg
 from ..sources import predlog
-from ..sources.messages import derived_messages
+from ..sources.messages import conversation_messages, derived_messages
 from ..sources.predlog import derived_log, scored_rows_from_events
 from ..sources.tables import read_table
 from ..operators import dbscan as dbs
@@ -232,6 +232,14 @@ def q_message_intents(spark, sf_dir):
         F.array_join("defaulted", ",").alias("defaulted")))
 
 
+def q_conversation_intents(spark, sf_dir):
+    """N-1/N-2/N-5 over the driver's conversation turns (whole texts)."""
+    p = msg.parse_messages(conversation_messages(spark, sf_dir))
+    return round_doubles(p.select("message_id", "intent", "fallback", "latitude", "longitude",
+                                  "hour", "event_cause", "zone", "corridor", "day_of_week",
+                                  "hotspot_zone", "explain_topic"))
+
+
 def q_intent_mix(spark, sf_dir):
     return msg.intent_mix(parsed_messages(spark, sf_dir))
 
@@ -500,6 +508,7 @@ REGISTRY = {
     "ema_cell_update": q_ema_cell_update,
     "message_intents": q_message_intents,
     "intent_mix": q_intent_mix,
+    "conversation_intents": q_conversation_intents,
     "compare_requests": q_compare_requests,
     "corridor_comparison": q_corridor_comparison,
     "zone_comparison": q_zone_comparison,
