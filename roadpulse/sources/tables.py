@@ -6,8 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def parallelism_floor(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A single small file is one split, so every narrow step after it would run
+    in one task.  A round-robin repartition to the default parallelism is
+    cheap there; a large input already has more splits than cores and is left
+    untouched (no shuffle added at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = parallelism_floor(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
     # TIMESTAMP_NTZ columns are pinned to session-zone timestamps once, here
     for f in df.schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
