@@ -438,6 +438,26 @@ def q_scored_incidents(spark, sf_dir):
                     "recommendations.priority_score", "recommendations.closure_risk")
 
 
+def q_message_predictions(spark, sf_dir):
+    """Predict-intent messages -> defaults (N-4) -> the shared scoring path (M-21).
+
+    The reference zero-filled the cyclic and interaction features for chat
+    predictions; here they go through the same feature function as the API.
+    """
+    _, bundle = trained(spark, sf_dir)
+    p = msg.fill_defaults(parsed_messages(spark, sf_dir)).filter(F.col("intent") == "predict")
+    req = p.select(F.col("message_id").alias("request_id"), "latitude", "longitude",
+                   F.col("hour").cast("int").alias("hour"),
+                   F.col("day_of_week").cast("int").alias("day_of_week"),
+                   F.col("month").cast("int").alias("month"), "event_cause",
+                   F.lit(None).cast("string").alias("event_type"), "veh_type", "zone",
+                   "corridor", "police_station")
+    s = training.score_requests(bundle, req)
+    return s.select("request_id", "priority_prob", "closure_prob", "duration_est_min",
+                    "priority_label", "closure_label", "recommendations.manpower",
+                    "recommendations.barricading", "recommendations.diversion")
+
+
 def q_hourly_monitoring(spark, sf_dir):
     log = derived_log(spark, sf_dir)
     hourly, _ = st_jobs.monitoring_frames(log)
@@ -531,6 +551,7 @@ REGISTRY = {
     "model_evaluation": q_model_evaluation,
     "feature_importances": q_feature_importances,
     "scored_incidents": q_scored_incidents,
+    "message_predictions": q_message_predictions,
     "hourly_monitoring": q_hourly_monitoring,
     "rolling_monitoring": q_rolling_monitoring,
     "smote_balance": q_smote_balance,
