@@ -855,3 +855,8 @@ SQL.update({
 SELECT message_id, intent, fallback, latitude, longitude, hour, event_cause, zone, corridor,
   day_of_week, hotspot_zone, explain_topic FROM parsed""", CONV_CTES), ["latitude", "longitude"]),
 })
+
+SQL.update({
+    "log_roundtrip": SQL["prediction_log"],
+    "lookup_roundtrip": SQL["geo_stats"],
+})

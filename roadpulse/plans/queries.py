@@ -30,7 +30,8 @@ from ..operators import metrics as mt
 from ..operators.clean import clustered_only, quarantine_split
 from ..operators.preprocess import TargetEncoder
 from ..operators.split import seeded_sample
-from . import retrain, training
+from ..session import shared_path
+from . import persist, retrain, training
 from .features import TARGET_ENC_COLS, build_training_features, materialize
 from ..operators.split import assign_split
 from ..sources.fixture import incident_fixture
@@ -458,6 +459,26 @@ def q_message_predictions(spark, sf_dir):
                     "recommendations.barricading", "recommendations.diversion")
 
 
+def _scratch(spark, name):
+    import uuid
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def q_log_roundtrip(spark, sf_dir):
+    """IO-3 append sink then IO-2 scan: the log as written and read back."""
+    path = _scratch(spark, "prediction-log")
+    predlog.append_log(derived_log(spark, sf_dir), path)
+    return round_doubles(ts_text(predlog.read_log(spark, path)))
+
+
+def q_lookup_roundtrip(spark, sf_dir):
+    """IO-4: fitted state saved under the shared folder and loaded again."""
+    _, state = build_training_features(incident_fixture(spark, sf_dir))
+    path = _scratch(spark, "feature-state")
+    persist.save_state(state, path)
+    return round_doubles(persist.load_state(spark, path).lookups.cell)
+
+
 def q_hourly_monitoring(spark, sf_dir):
     log = derived_log(spark, sf_dir)
     hourly, _ = st_jobs.monitoring_frames(log)
@@ -552,6 +573,8 @@ REGISTRY = {
     "feature_importances": q_feature_importances,
     "scored_incidents": q_scored_incidents,
     "message_predictions": q_message_predictions,
+    "log_roundtrip": q_log_roundtrip,
+    "lookup_roundtrip": q_lookup_roundtrip,
     "hourly_monitoring": q_hourly_monitoring,
     "rolling_monitoring": q_rolling_monitoring,
     "smote_balance": q_smote_balance,
