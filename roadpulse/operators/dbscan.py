@@ -15,8 +15,10 @@ No all-pairs step runs inside a dense group:
   centre).  For a micro-cell of side m the triangle inequality bounds every
   member's distance to a target within ``d(centre) +- radians(m)``, so a
   micro-cell is either certainly inside eps, certainly outside, or
-  uncertain; only uncertain micro-cells are expanded to points (two hot
-  micro-cells at about eps from each other remain a quadratic case);
+  uncertain; only uncertain micro-cells are expanded, to their *distinct
+  coordinates* (with multiplicity), so incidents stacked on one spot cost
+  one row; two micro-cells full of distinct coordinates at about eps from
+  each other remain a quadratic case;
 * points of sparse cells (< min_samples each) are compared point-to-point
   with the sparse points of the surrounding cells -- at most
   (cells in reach) x (min_samples - 1) candidates per point;
@@ -107,17 +109,19 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
           .filter(F.col("_d") <= eps + r_micro)).checkpoint()
     certain = F.col("_d") <= eps - r_micro
     sm_certain = sm.filter(certain).select("id", "qi", "qj", "mn")
-    dp = dense_pts.select(F.col("id").alias("qid"), F.col("lat").alias("qlat"),
-                          F.col("lon").alias("qlon"), "mi", "mj")
+    # point fallback on distinct coordinates with multiplicity: incidents
+    # logged at the same spot (a junction) collapse to one row
+    dp = (dense_pts.groupBy("mi", "mj", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
+          .agg(F.count(F.lit(1)).alias("qn")))
     sm_points = (sm.filter(~certain).select("id", "lat", "lon", "qi", "qj", "mi", "mj")
                  .join(dp, ["mi", "mj"])
                  .filter(haversine_rad(F.col("lat"), F.col("lon"), F.col("qlat"),
                                        F.col("qlon")) <= eps)
-                 .select("id", "qi", "qj")).checkpoint()
+                 .select("id", "qi", "qj", "qn")).checkpoint()
 
     counts = (ss.groupBy("id").agg(F.count(F.lit(1)).alias("n1"))
               .join(sm_certain.groupBy("id").agg(F.sum("mn").alias("n2")), "id", "full_outer")
-              .join(sm_points.groupBy("id").agg(F.count(F.lit(1)).alias("n3")), "id", "full_outer"))
+              .join(sm_points.groupBy("id").agg(F.sum("qn").alias("n3")), "id", "full_outer"))
     counts = counts.select("id", (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
                                   + F.coalesce("n3", F.lit(0))).alias("nb"))
     sparse_core = counts.filter(F.col("nb") >= min_samples).select("id").checkpoint()
@@ -131,7 +135,7 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
                                             .withColumnRenamed("_core", "_qcore"), "qid")
           .select(F.col("id").alias("a"), F.col("qid").alias("b")))
     # sparse core x dense cell (any member within eps)
-    sd = (sm_certain.select("id", "qi", "qj").unionByName(sm_points)
+    sd = (sm_certain.select("id", "qi", "qj").unionByName(sm_points.select("id", "qi", "qj"))
           .join(sparse_core, "id").join(cell_node, ["qi", "qj"])
           .select(F.col("id").alias("a"), F.col("node").alias("b")))
     # dense cell x dense cell: micro-cell pairs, points only when uncertain
@@ -148,10 +152,10 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
                          .select("ci", "cj", "qi", "qj").distinct())
     unsure = (mm.filter(F.col("_d") > eps - 2 * r_micro)
               .join(cell_pair_certain, ["ci", "cj", "qi", "qj"], "left_anti"))
-    pa = dense_pts.select(F.col("id").alias("pid"), F.col("lat").alias("plat"),
-                          F.col("lon").alias("plon"), "mi", "mj")
-    pb = dense_pts.select(F.col("lat").alias("blat"), F.col("lon").alias("blon"),
-                          F.col("mi").alias("qmi"), F.col("mj").alias("qmj"))
+    coords = dense_pts.select("mi", "mj", "lat", "lon").distinct()  # existence only
+    pa = coords.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "mi", "mj")
+    pb = coords.select(F.col("lat").alias("blat"), F.col("lon").alias("blon"),
+                       F.col("mi").alias("qmi"), F.col("mj").alias("qmj"))
     cell_pair_points = (unsure.select("ci", "cj", "qi", "qj", "mi", "mj", "qmi", "qmj")
                         .join(pa, ["mi", "mj"]).join(pb, ["qmi", "qmj"])
                         .filter(haversine_rad(F.col("plat"), F.col("plon"), F.col("blat"),
@@ -185,7 +189,7 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
     to_sparse_core = (ss.join(sparse_core.withColumnRenamed("id", "qid"), "qid")
                       .join(node_cluster.withColumnRenamed("node", "qid"), "qid")
                       .select("id", "cluster"))
-    to_dense = (sm_certain.select("id", "qi", "qj").unionByName(sm_points)
+    to_dense = (sm_certain.select("id", "qi", "qj").unionByName(sm_points.select("id", "qi", "qj"))
                 .join(cell_node, ["qi", "qj"]).join(node_cluster, "node")
                 .select("id", "cluster"))
     border = (to_sparse_core.unionByName(to_dense)

@@ -75,3 +75,15 @@ def test_profiles(spark):
     p = cluster_profiles(df).first()
     assert p["event_count"] == 4 and p["high_priority_pct"] == 50.0
     assert p["top_cause"] == "a" and p["centroid_lat"] == 2.25
+
+
+def test_stacked_coordinates_hotspot(spark):
+    """A third of the rows at one junction, plus points near eps from it."""
+    rnd = random.Random(11)
+    pts = [(12.95, 77.60)] * 1500 + [(12.95 + 0.0049, 77.60)] * 40
+    for _ in range(1500):
+        pts.append((12.95 + rnd.uniform(-0.012, 0.012), 77.60 + rnd.uniform(-0.012, 0.012)))
+    rows = [(i, a, b) for i, (a, b) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in dbscan(df).collect()}
+    assert got == brute(rows)
