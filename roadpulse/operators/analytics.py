@@ -1,9 +1,9 @@
 """Dashboard aggregates (A-11..A-16, A-18, A-20, A-21), time windows over the
 prediction log (W-2..W-4) and top-k reports (T-1).
 
-Every aggregate is a single partial/final hash aggregate; only results that
-are bounded by construction (top-k, pivots over a passed value list) are
-ordered or collected.
+Every aggregate is a single partial/final hash aggregate.  Only small
+aggregated results are ordered (cause counts, the zone total window); top-k
+reports use TakeOrdered (n rows per task); pivots take the value list.
 """
 
 from __future__ import annotations

@@ -1,10 +1,12 @@
 """Histograms (A-19), PSI (D-1), prediction/feature drift (D-2, D-3), status
 labels (D-4) and the arrival-order halves of a log (W-1).
 
-Binning is one pass: bounds come from a one-row aggregate (scalars), each
-row maps to a bin index with ``least(floor((v-lo)/w), n-1)``, then a grouped
-count; empty bins are filled from a ``sequence`` of bin ids so the +1
-smoothing of PSI sees every bin.  No global sort or window over rows.
+Binning: bounds come from a small per-group aggregate (min/max per column
+or feature) joined back, each row maps to a bin index with
+``least(floor((v-lo)/w), n-1)``, then a grouped count; empty bins are filled
+from a ``sequence`` of bin ids so the +1 smoothing of PSI sees every bin.
+Windows only run over those small per-group tables, never over rows
+(except the ranking inside the one hour bucket that straddles the W-1 cut).
 """
 
 from __future__ import annotations
