@@ -74,13 +74,15 @@ def fit_feature_state(train: DataFrame, exact_medians: bool = True) -> FeatureSt
 
     The slice is persisted (memory, spilling to disk; lost blocks recompute
     from the scan) only while the fit runs; the lookups -- small keyed
-    aggregates -- stay materialised for the joins that follow.
+    aggregates -- are checkpointed to the shared folder for the joins that
+    follow.
     """
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        lookups = lk.Lookups.fit(train)
-        for _, t in lookups.items():
-            t.persist(StorageLevel.MEMORY_AND_DISK).count()
+        fitted = lk.Lookups.fit(train)
+        # checkpointed (shared folder), not cached: lineage is cut and no
+        # cache entry lingers for the planner to match against later plans
+        lookups = lk.Lookups(**{name: materialize(t) for name, t in fitted.items()})
         joined = lk.join_lookups(train, lookups)
         medians = lk.median_table(joined, exact_medians).first().asDict()
         capper = IQRCapper("duration_minutes", 1.5).fit(train)
