@@ -6,11 +6,13 @@ or feature) joined back, each row maps to a bin index with
 ``least(floor((v-lo)/w), n-1)``, then a grouped count; empty bins are filled
 from a ``sequence`` of bin ids so the +1 smoothing of PSI sees every bin.
 Windows only run over those small per-group tables, never over rows
-(except the ranking inside the one hour bucket that straddles the W-1 cut).
+(except the ranking inside the one second that straddles the W-1 cut).
 """
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,29 +71,44 @@ def arrival_halves(log: DataFrame, order_cols=("timestamp", "prediction_id"),
                    name: str = "half") -> DataFrame:
     """W-1: first n//2 rows in arrival order -> 'ref', the rest -> 'cur'.
 
-    The cut row is found without a global window: rows are counted per time
-    bucket (hour), the bucket holding the n//2-th row is located from the
-    small per-bucket table, and only that bucket's rows are ranked.
+    No global window: the cut is located by successive refinement -- rows are
+    counted per hour, then (inside the hour holding the cut) per minute, then
+    per second; each step reads a table of at most a few thousand bucket
+    counts.  Only the rows of the one second that holds the cut are ranked,
+    so no task ever orders more than one second of arrivals.
     """
     ts_col, id_col = order_cols
-    bucket = F.date_trunc("hour", F.col(ts_col))
-    b = log.withColumn("_bucket", bucket)
-    per_bucket = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = (per_bucket.withColumn("_cum", F.sum("_n").over(w))
-           .withColumn("_before", F.col("_cum") - F.col("_n"))
-           .withColumn("_mid", F.floor(F.sum("_n").over(Window.partitionBy()) / 2)))
-    j = b.join(cum.select("_bucket", "_before", "_cum", "_mid"), "_bucket", "left")
-    # only the one bucket that straddles the cut is ranked
-    straddle = (F.col("_before") < F.col("_mid")) & (F.col("_cum") > F.col("_mid"))
-    rank_w = Window.partitionBy("_bucket").orderBy(F.col(ts_col), F.col(id_col))
-    cut = (j.filter(straddle)
-           .withColumn("_pos", F.col("_before") + F.row_number().over(rank_w))
-           .withColumn(name, F.when(F.col("_pos") <= F.col("_mid"), "ref").otherwise("cur"))
+    ts = F.col(ts_col)
+    n = log.count()
+    mid = n // 2
+    before, lo, hi = 0, None, None       # rows before [lo, hi), bucket bounds
+    for unit, seconds in (("hour", 3600), ("minute", 60), ("second", 1)):
+        scope = log if lo is None else log.filter((ts >= F.lit(lo)) & (ts < F.lit(hi)))
+        counts = (scope.groupBy(F.date_trunc(unit, ts).alias("b"))
+                  .agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect())
+        run = before
+        for row in counts:
+            if row["b"] is not None and run + row["c"] > mid:
+                lo = row["b"]
+                hi = lo + _dt.timedelta(seconds=seconds)
+                break
+            run += row["c"]
+        else:
+            lo = None
+        if lo is None:
+            break
+        before = run
+    if lo is None:        # empty log, or the cut falls past every timestamped row
+        return log.withColumn(name, F.lit("ref"))
+    inside = (ts >= F.lit(lo)) & (ts < F.lit(hi))
+    rank_w = Window.partitionBy(F.lit(0)).orderBy(ts, F.col(id_col))
+    cut = (log.filter(inside)
+           .withColumn("_pos", F.lit(before) + F.row_number().over(rank_w))
+           .withColumn(name, F.when(F.col("_pos") <= mid, "ref").otherwise("cur"))
            .drop("_pos"))
-    rest = j.filter(~straddle).withColumn(
-        name, F.when(F.col("_cum") <= F.col("_mid"), "ref").otherwise("cur"))
-    return cut.unionByName(rest).drop("_bucket", "_before", "_cum", "_mid")
+    rest = log.filter(~inside | ts.isNull()).withColumn(
+        name, F.when(ts < F.lit(lo), "ref").otherwise("cur"))
+    return cut.unionByName(rest)
 
 
 def psi_table(df: DataFrame, group: str, side: str, value: str, bins: int = PSI_BINS,
