@@ -479,6 +479,21 @@ def q_lookup_roundtrip(spark, sf_dir):
     return round_doubles(persist.load_state(spark, path).lookups.cell)
 
 
+RETRAIN_CONFIG = dict(trials=1, folds=2, stack_folds=2, max_iter=4, parallelism=6)
+
+
+def q_retrain_status(spark, sf_dir):
+    """M-20 + IO-6: windowed retrain gated against the current model's
+    validation AUC; the record goes to a retrain log in the shared folder and
+    the latest status is read back (max_by over the timestamp)."""
+    _, current = trained(spark, sf_dir)
+    log_path = _scratch(spark, "retrain-log")
+    retrain.retrain_cycle(spark, prepared(spark, sf_dir), log_path,
+                          current_metric=current.metrics.get("priority_valid_auc"),
+                          cfg=training.TrainConfig(**RETRAIN_CONFIG))
+    return round_doubles(retrain.latest_retrain_status(spark, log_path).drop("timestamp"))
+
+
 def q_hourly_monitoring(spark, sf_dir):
     log = derived_log(spark, sf_dir)
     hourly, _ = st_jobs.monitoring_frames(log)
@@ -573,6 +588,7 @@ REGISTRY = {
     "feature_importances": q_feature_importances,
     "scored_incidents": q_scored_incidents,
     "message_predictions": q_message_predictions,
+    "retrain_status": q_retrain_status,
     "log_roundtrip": q_log_roundtrip,
     "lookup_roundtrip": q_lookup_roundtrip,
     "hourly_monitoring": q_hourly_monitoring,
