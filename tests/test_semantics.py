@@ -123,3 +123,19 @@ def test_lookup_joins_keep_row_count(spark):
     p = clean.prepare_incidents(df)
     out = lk.join_lookups(p, lk.Lookups.fit(p))
     assert out.count() == p.count()
+
+
+def test_approximate_percentiles_close_to_exact(spark):
+    import random
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(rnd.uniform(0, 500),) for _ in range(5000)],
+                               "duration_minutes double")
+    ex = IQRCapper.bounds_frame(df, "duration_minutes", exact=True).first()
+    ap = IQRCapper.bounds_frame(df, "duration_minutes", exact=False).first()
+    assert abs(ex["q1"] - ap["q1"]) < 1.0 and abs(ex["q3"] - ap["q3"]) < 1.0
+    from roadpulse.operators import metrics as mt
+    pairs = spark.createDataFrame([(rnd.uniform(1, 100), rnd.uniform(1, 100)) for _ in range(3000)],
+                                  "p double, y double")
+    e1 = mt.regression_metrics(pairs, "p", "y", exact=True).first()["median_ae"]
+    e2 = mt.regression_metrics(pairs, "p", "y", exact=False).first()["median_ae"]
+    assert abs(e1 - e2) < 0.5
