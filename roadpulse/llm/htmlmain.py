@@ -68,13 +68,16 @@ for _k, _words in enumerate(TOKENS):
     for _w in _words.split():
         GROUP.setdefault(_w, []).append(_k)
 
+IMPLIED = {"nav": 0, "menu": 0, "header": 1, "footer": 2, "aside": 3, "form": 6, "button": 6, "label": 6, "dialog": 5,
+           "article": 8, "main": 8}  # groups that an element's name stands for
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|([^<]+|<)", re.S)
 _ATTRS = re.compile(r"(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-N_FEATURES = len(set(TAGS.values())) + 2 * len(TOKENS) + 20
+N_FEATURES = len(set(TAGS.values())) + 2 * len(TOKENS) + 22
 
 
 class Node:
@@ -152,9 +155,11 @@ def parse(page: str | None) -> Node:
                 here = node.parent
         groups = ()
         if attrs:
-            groups = tuple({g for _, value in _ATTRS.findall(attrs) for w in _WORDS.findall(value)
-                            for g in GROUP.get(w.lower(), ())})
-        here = Node(name, here, groups, bool(attrs and _HIDDEN.search(attrs)))
+            groups = {g for _, value in _ATTRS.findall(attrs) for w in _WORDS.findall(value)
+                      for g in GROUP.get(w.lower(), ())}
+        if name in IMPLIED:
+            groups = {*groups, IMPLIED[name]}
+        here = Node(name, here, tuple(groups), bool(attrs and _HIDDEN.search(attrs)))
     flush()
     return root
 
@@ -179,7 +184,7 @@ def features(pages: list[list[Node]]) -> np.ndarray:
     parent, root = [0] * n, [0] * n
     chars, words, links, stops, tags, leaves = ([0] * n for _ in range(6))
     start, rank, same, before, after = ([0] * n for _ in range(5))
-    family, mean = [1] * n, [0.0] * n
+    family, mean, against, for_ = [1] * n, [0.0] * n, [0] * n, [0] * n
     above: list[tuple] = [()] * n
     mark_rows, mark_cols, seen, first = [], [], 0, 0
     for k, node in enumerate(order):
@@ -193,6 +198,9 @@ def features(pages: list[list[Node]]) -> np.ndarray:
         root[k], start[k] = first, seen
         marks = [TAGS.get(node.tag, TAGS["div"]), *(n_tags + g for g in node.groups),
                  *(n_tags + n_groups + g for g in above[k])]
+        near = node.groups + above[k]
+        for_[k] = near.count(8)
+        against[k] = len(near) - for_[k]
         mark_rows += [k] * len(marks)
         mark_cols += marks
         if node.tag == "#text":
@@ -233,7 +241,7 @@ def features(pages: list[list[Node]]) -> np.ndarray:
         rank / family, family, same / family, np.log1p(chars), np.log1p(words), links / size, chars / (tags + 1),
         words / np.maximum(1, leaves), stops / np.maximum(1, words), chars / whole, start / whole, np.log1p(mean),
         np.log1p(before), np.log1p(after), number([node.hidden for node in order]),
-        links[parent] / size[parent], chars / size[parent]], axis=1)
+        links[parent] / size[parent], chars / size[parent], against, for_], axis=1)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op1_benchmark_decontamination
 from .packing import op10_packing
 from .htmlmain import op4_html_main_text
@@ -15,8 +17,8 @@ from .warc import op3_warc_transactions
 
 REGISTRY = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_permutation_index, op3_warc_transactions, op4_html_main_text, op5_sharding,
-    op6_toxicity_chain,
-    op7_simhash_near_dedup, op8_quotation_linking, op9_pii_pseudonyms, op10_packing)}
+    op6_toxicity_chain, op7_simhash_near_dedup, op8_quotation_linking, op9_pii_pseudonyms, op10_packing)}
+REGISTRY["pipeline"] = corpus_pipeline.run
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

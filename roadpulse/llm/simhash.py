@@ -135,23 +135,52 @@ def links(prints: DataFrame, max_distance: int = 2) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def groups(prints: DataFrame, max_distance: int = 2) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint in ``prints`` (id, fp)."""
+    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    roots = components(links(firsts.select("fp"), max_distance))
+    rooted = stored(firsts.join(roots, firsts["fp"] == roots["node"], "left")
+                    .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width: int = 3, max_distance: int = 2) -> DataFrame:
     """(id_col, fingerprint, component_id) for every row of ``docs``."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(links(firsts.select("fp"), max_distance))
-    of_root = (firsts.join(roots, firsts["fp"] == roots["node"])
-               .groupBy("root").agg(F.min("first").alias("least")))
-    of_print = stored(
-        firsts.join(roots.join(of_root, "root").select("node", "least"),
-                    firsts["fp"] == F.col("node"), "left")
-        .select("fp", F.coalesce("least", "first").alias("component_id")), "simhash")
-    return (prints.join(of_print, "fp")
+    return (prints.join(groups(prints, max_distance).drop("root"), "fp")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             width: int = 3, max_distance: int = 2) -> DataFrame:
+    """``docs`` with one row of each group: that with the smallest id, of rows with one id the smallest.
+
+    Of a group without any id the smallest row stays.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
+    found = groups(prints, max_distance)
+    chosen = (prints.join(found, "fp").where("id = component_id").select("id", F.col("root").alias("_root")).distinct())
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    named = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), row)
+             .join(chosen, F.col("_id") == chosen["id"]).groupBy("_id").agg(F.min("_row").alias("_row")))
+    without = docs.where(F.col(id_col).isNull())
+    nameless = (without.select(row, F.struct(F.col(id_col), F.col(text_col)).alias("_key")).distinct()
+                .withColumn("_fp", _fingerprint_of(F.col("_key")[text_col], width))
+                .join(found.where("component_id is null"), F.col("_fp") == F.col("fp"))
+                .groupBy("root").agg(F.min("_row").alias("_row")))
+    return named.select("_row.*").union(nameless.select("_row.*"))
+
+
+def _fingerprint_of(text: Column, width: int) -> Column:
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64))
+    return run(text)
+
+
 def op7_simhash_near_dedup(spark, sf_dir):
     """SimHash groups of all ``documents``: three-word shingles, two differing bits."""
     from .common import table

@@ -125,12 +125,13 @@ class Chain:
         return out
 
 
-def _linear(rows: DataFrame, category: str, regularization: float):
+def _linear(rows: DataFrame, category: str, regularization: float, lasso: float):
     """(model or None, constant): logistic regression, or the only class there is."""
     sums = rows.agg(F.count(F.lit(1)), F.sum(category)).first()
     if not sums[0] or sums[1] in (0, sums[0]):
         return None, float(bool(sums[1]))
-    return LogisticRegression(labelCol=category, regParam=regularization, maxIter=60, standardization=False,
+    return LogisticRegression(labelCol=category, regParam=regularization, elasticNetParam=lasso, maxIter=60,
+                              standardization=False,
                               probabilityCol="probability").fit(rows), 0.0
 
 
@@ -143,7 +144,8 @@ def _append(vector: Column, value: Column, size: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text",
-        sample: int = 8000, kept: int = 1500, folds: int = 3, regularization: float = 1e-4) -> Chain | None:
+        sample: int = 8000, kept: int = 1500, folds: int = 3, regularization: float = 1e-3,
+        lasso: float = 0.5) -> Chain | None:
     """Chain over ``categories`` (name -> SQL condition over ``labels``, in order) from at most ``sample`` documents."""
     names = list(categories)
     chosen = (labels.select(F.col(id_col).alias("_key"), *(F.expr(sql).cast("double").alias(c) for c, sql in categories.items()))
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
     rows = stored(rows, "chain")
     weights, intercepts = [], []
     for k, category in enumerate(names):
-        model, constant = _linear(rows, category, regularization)
+        model, constant = _linear(rows, category, regularization, lasso)
         weights.append(np.zeros(size + k) if model is None else model.coefficients.toArray())
         intercepts.append(model.intercept if model else (500.0 if constant else -500.0))
         if k + 1 == len(names):
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
         parts = []
         for fold in range(folds):
             other, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            model, constant = _linear(other, category, regularization)
+            model, constant = _linear(other, category, regularization, lasso)
             if model is None:
                 held = held.withColumn("p", F.lit(constant))
             else:
