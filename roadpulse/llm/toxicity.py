@@ -144,8 +144,8 @@ def _append(vector: Column, value: Column, size: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text",
-        sample: int = 8000, kept: int = 1500, folds: int = 3, regularization: float = 1e-3,
-        lasso: float = 0.5) -> Chain | None:
+        sample: int = 8000, kept: int = 1500, folds: int = 3, regularization: float = 3e-4,
+        lasso: float = 0.7) -> Chain | None:
     """Chain over ``categories`` (name -> SQL condition over ``labels``, in order) from at most ``sample`` documents."""
     names = list(categories)
     chosen = (labels.select(F.col(id_col).alias("_key"), *(F.expr(sql).cast("double").alias(c) for c, sql in categories.items()))
