@@ -130,9 +130,9 @@ def _linear(rows: DataFrame, category: str, regularization: float, lasso: float)
     sums = rows.agg(F.count(F.lit(1)), F.sum(category)).first()
     if not sums[0] or sums[1] in (0, sums[0]):
         return None, float(bool(sums[1]))
-    return LogisticRegression(labelCol=category, regParam=regularization, elasticNetParam=lasso, maxIter=60,
-                              standardization=False,
-                              probabilityCol="probability").fit(rows), 0.0
+    return LogisticRegression(labelCol=category, regParam=regularization, elasticNetParam=lasso, maxIter=30,
+                              tol=1e-5, standardization=False,
+                              probabilityCol="probability").fit(rows.coalesce(2)), 0.0  # a bounded sample: few, large tasks
 
 
 def _append(vector: Column, value: Column, size: int) -> Column:
