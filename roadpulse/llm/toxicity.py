@@ -101,11 +101,10 @@ def choose_features(rows: DataFrame, categories: list[str], kept: int, least: in
     def chi2(c: str) -> Column:
         total, positive = float(size["n"]), float(size[c] or 0)
         joint = F.col(c) * total - F.col("n") * positive
-        return F.coalesce(joint * joint / (F.col("n") * (total - F.col("n")) * positive * (total - positive)), F.lit(0.0))
+        return F.coalesce(F.try_divide(joint * joint, F.col("n") * (total - F.col("n")) * positive * (total - positive)), F.lit(0.0))
 
     score = F.greatest(*(chi2(c) for c in categories), F.lit(0.0))
-    with_score = sums.withColumn("score", F.try_add(score, F.lit(0.0)))
-    return [r["f"] for r in with_score.orderBy(F.desc("score"), "f").limit(kept).collect()]
+    return [r["f"] for r in sums.withColumn("score", score).orderBy(F.desc("score"), "f").limit(kept).collect()]
 
 
 class Chain:
