@@ -456,7 +456,7 @@ req AS (
 
 MSG_CTES = MSGS_FIXTURE + "," + PARSE_CTES
 CONV_CTES = """
-msgs AS (SELECT conv_id * 1000 + turn AS message_id, NULL::TIMESTAMP AS sent_at, text
+msgs AS (SELECT conv_id * 1000000 + turn AS message_id, NULL::TIMESTAMP AS sent_at, text
          FROM conversations),""" + PARSE_CTES
 
 EMA_CTES = f"""
@@ -663,7 +663,7 @@ def _auc_sql(src: str, score: str, label: str) -> str:
       CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives
     FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
                                                  AND 1 PRECEDING), 0) AS neg_below
-          FROM (SELECT round({score}, 6) AS score, count_if({label} = 1) AS pos,
+          FROM (SELECT {score} AS score, count_if({label} = 1) AS pos,
                        count_if({label} = 0) AS neg
                 FROM {src} WHERE {score} IS NOT NULL AND {label} IS NOT NULL GROUP BY 1)))"""
 
@@ -713,7 +713,7 @@ SELECT score AS threshold, f1, precision, recall FROM (
         sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
         sum(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
         sum(pos) OVER () AS pt
-      FROM (SELECT round(closure_prob, 6) AS score, count_if(road_closure_binary = 1) AS pos,
+      FROM (SELECT closure_prob AS score, count_if(road_closure_binary = 1) AS pos,
                    count_if(road_closure_binary = 0) AS neg FROM swl_test
             WHERE closure_prob IS NOT NULL GROUP BY 1))))
 ORDER BY f1 DESC, score ASC LIMIT 1""", SWL), ["threshold", "f1", "precision", "recall"]),

@@ -48,12 +48,12 @@ def _reach(eps_deg: float, side: float, phi_max_deg: float) -> tuple[int, int]:
     eps = math.radians(eps_deg)
     c = math.cos(math.radians(min(phi_max_deg, 89.999)))
     dlon = math.degrees(2 * math.asin(min(1.0, math.sin(eps / 2) / c)))
-    return math.ceil(eps_deg / side) + 1, math.ceil(dlon / side) + 1
+    return math.ceil(eps_deg / side), math.ceil(dlon / side)
 
 
 def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: str = "longitude",
-           eps_deg: float = EPS_DEG, min_samples: int = MIN_SAMPLES, micro: int = MICRO,
-           max_rounds: int = 64) -> DataFrame:
+           eps_deg: float = EPS_DEG, min_samples: int = MIN_SAMPLES, micro: int = MICRO
+           ) -> DataFrame:
     """Label every point: (id, cluster, is_core).  Points need non-null lat/lon."""
     spark = points.sparkSession
     checkpoint_dir(spark)
@@ -172,7 +172,7 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
 
     nodes = (cell_node.select("node").unionByName(sparse_core.select(F.col("id").alias("node")))
              .distinct())
-    labels = _components(nodes, edges, max_rounds)
+    labels = _components(nodes, edges)
 
     # --- number clusters by smallest core id ------------------------------
     order = dense_index(labels, "label", "cluster")
@@ -202,10 +202,10 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
     return labelled.unionByName(noise)
 
 
-def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
-    """Min-label propagation with pointer jumping; returns (node, label)."""
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Min-label propagation with pointer jumping to the fixpoint; returns (node, label)."""
     lab = nodes.select("node", F.col("node").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         nb = (edges.join(lab.withColumnRenamed("node", "b"), "b")
               .groupBy("a").agg(F.min("label").alias("nl")))
         step = (lab.join(nb.withColumnRenamed("a", "node"), "node", "left")
@@ -219,8 +219,7 @@ def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFram
                    .filter(F.col("label") != F.col("old")).limit(1).count())
         lab = new
         if changed == 0:
-            break
-    return lab
+            return lab
 
 
 def cluster_points(prepared: DataFrame, labels: DataFrame, id_col: str = "incident_id"

@@ -11,11 +11,13 @@ Windows only run over those small per-group tables, never over rows
 
 from __future__ import annotations
 
-import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+from .ordering import sums_below
+
 PSI_BINS = 10
 # PSI status cut-offs and labels (code semantics: 0.25 is "significant").
 PSI_CUTS = (0.10, 0.25)
@@ -71,44 +73,36 @@ def arrival_halves(log: DataFrame, order_cols=("timestamp", "prediction_id"),
                    name: str = "half") -> DataFrame:
     """W-1: first n//2 rows in arrival order -> 'ref', the rest -> 'cur'.
 
-    No global window: the cut is located by successive refinement -- rows are
-    counted per hour, then (inside the hour holding the cut) per minute, then
-    per second; each step reads a table of at most a few thousand bucket
-    counts.  Only the rows of the one second that holds the cut are ranked,
-    so no task ever orders more than one second of arrivals.
+    Rows without a time come first; rows of one time (or without one) are in
+    order of id, those without an id first.  Rows that share both time and id get one label.  The cut
+    is located in the running counts of the distinct times, then in those of
+    the ids at the cut's time (``ordering.sums_below``); two scalars reach the
+    driver and no task ranks all rows.
     """
+    checkpoint_dir(log.sparkSession)
     ts_col, id_col = order_cols
-    ts = F.col(ts_col)
-    n = log.count()
-    mid = n // 2
-    before, lo, hi = 0, None, None       # rows before [lo, hi), bucket bounds
-    for unit, seconds in (("hour", 3600), ("minute", 60), ("second", 1)):
-        scope = log if lo is None else log.filter((ts >= F.lit(lo)) & (ts < F.lit(hi)))
-        counts = (scope.groupBy(F.date_trunc(unit, ts).alias("b"))
-                  .agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect())
-        run = before
-        for row in counts:
-            if row["b"] is not None and run + row["c"] > mid:
-                lo = row["b"]
-                hi = lo + _dt.timedelta(seconds=seconds)
-                break
-            run += row["c"]
-        else:
-            lo = None
-        if lo is None:
-            break
-        before = run
-    if lo is None:        # empty log, or the cut falls past every timestamped row
-        return log.withColumn(name, F.lit("ref"))
-    inside = (ts >= F.lit(lo)) & (ts < F.lit(hi))
-    rank_w = Window.partitionBy(F.lit(0)).orderBy(ts, F.col(id_col))
-    cut = (log.filter(inside)
-           .withColumn("_pos", F.lit(before) + F.row_number().over(rank_w))
-           .withColumn(name, F.when(F.col("_pos") <= mid, "ref").otherwise("cur"))
-           .drop("_pos"))
-    rest = log.filter(~inside | ts.isNull()).withColumn(
-        name, F.when(ts < F.lit(lo), "ref").otherwise("cur"))
-    return cut.unionByName(rest)
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    ids = F.col(id_col)
+    mid = log.count() // 2
+    before = log.filter(at.isNull()).count()
+    count = F.count(F.lit(1)).alias("n")
+    if mid == 0:
+        return log.withColumn(name, F.lit("cur"))
+    if mid <= before:
+        earlier, scope, left = F.lit(False), at.isNull(), mid
+    else:
+        times = sums_below(log.filter(at.isNotNull()).groupBy(at.alias("at")).agg(count), "at", ["n"])
+        cut = times.filter((F.col("n_below") + before < mid)
+                           & (F.col("n_below") + F.col("n") + before >= mid)).first()
+        earlier = at.isNull() | (at < F.lit(cut["at"]))
+        scope, left = at == F.lit(cut["at"]), mid - before - cut["n_below"]
+    inside = log.filter(scope)
+    nameless = inside.filter(ids.isNull()).count()
+    named = sums_below(inside.filter(ids.isNotNull()).groupBy(ids.alias("id")).agg(count), "id", ["n"])
+    last = named.filter(F.col("n_below") + nameless < left).agg(F.max("id")).first()[0]
+    first = ids.isNull() if last is None else ids.isNull() | (ids <= F.lit(last))
+    ref = F.coalesce(earlier, F.lit(False)) | (F.coalesce(scope, F.lit(False)) & first)
+    return log.withColumn(name, F.when(ref, "ref").otherwise("cur"))
 
 
 def psi_table(df: DataFrame, group: str, side: str, value: str, bins: int = PSI_BINS,

@@ -48,15 +48,19 @@ def _leaf(ev: DataFrame, alpha: float) -> DataFrame:
     newest = Window.partitionBy("geohash6", "k1").orderBy(F.desc("_ts"), F.desc("_id"))
     later = newest.rowsBetween(Window.unboundedPreceding, -1)
     has_d = F.col("x_d").isNotNull().cast("int")
+    has_cl = F.col("x_cl").isNotNull().cast("int")
     r = ev.withColumns({
         "_j": F.row_number().over(newest) - 1,
         "_jd": F.coalesce(F.sum(has_d).over(later), F.lit(0)),
+        "_jc": F.coalesce(F.sum(has_cl).over(later), F.lit(0)),
     })
     decay = lambda j: F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col(j))
     return r.groupBy("geohash6", "k1").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(decay("_j") * F.col("x_high")).alias("b_high"),
-        F.sum(decay("_j") * F.col("x_cl")).alias("b_cl"),
+        F.count("x_cl").alias("n_cl"),
+        F.coalesce(F.sum(F.when(F.col("x_cl").isNotNull(), decay("_jc") * F.col("x_cl"))),
+                   F.lit(0.0)).alias("b_cl"),
         F.count("x_d").alias("n_d"),
         F.coalesce(F.sum(F.when(F.col("x_d").isNotNull(), decay("_jd") * F.col("x_d"))),
                    F.lit(0.0)).alias("b_d"))
@@ -73,12 +77,14 @@ def _compose(children: DataFrame, child_key: str, parent_key: str | None,
     later = (Window.partitionBy(*part).orderBy(F.desc(child_key))
              .rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumns({"_after": F.coalesce(F.sum("n").over(later), F.lit(0)),
+                         "_after_c": F.coalesce(F.sum("n_cl").over(later), F.lit(0)),
                          "_after_d": F.coalesce(F.sum("n_d").over(later), F.lit(0))})
     q = F.lit(1 - alpha)
     return df.groupBy(*part).agg(
         F.sum("n").alias("n"),
         F.sum(F.col("b_high") * F.pow(q, F.col("_after"))).alias("b_high"),
-        F.sum(F.col("b_cl") * F.pow(q, F.col("_after"))).alias("b_cl"),
+        F.sum("n_cl").alias("n_cl"),
+        F.sum(F.col("b_cl") * F.pow(q, F.col("_after_c"))).alias("b_cl"),
         F.sum("n_d").alias("n_d"),
         F.sum(F.col("b_d") * F.pow(q, F.col("_after_d"))).alias("b_d"))
 
@@ -97,7 +103,7 @@ def cell_updates(events: DataFrame, alpha: float = ALPHA, ts_col: str = "event_t
     order = F.struct("_ts", "_id")
     firsts = ev.groupBy("geohash6").agg(
         F.min_by("x_high", order).alias("first_high"),
-        F.min_by("x_cl", order).alias("first_cl"),
+        F.min_by("x_cl", F.when(F.col("x_cl").isNotNull(), order)).alias("first_cl"),
         F.min_by("x_d", F.when(F.col("x_d").isNotNull(), order)).alias("first_d"))
     return level.join(firsts, "geohash6")
 
@@ -120,16 +126,18 @@ def apply_ema(lookup: DataFrame, events: DataFrame, alpha: float = ALPHA,
         start = F.when(is_old, F.col(o)).otherwise(F.col(first))
         return F.when(touched, F.pow(q, F.col(n)) * start + F.col(b)).otherwise(F.col(o))
 
-    d_start = F.coalesce(F.when(is_old, F.col("o_d")), F.col("first_d"))
-    dur = (F.when(~touched | (F.col("n_d") == 0), F.col("o_d"))
-           .otherwise(F.pow(q, F.col("n_d")) * d_start + F.col("b_d")))
+    def fold_known(o, first, n, b):
+        """Null observations neither count nor decay."""
+        start = F.coalesce(F.when(is_old, F.col(o)), F.col(first))
+        return (F.when(~touched | (F.col(n) == 0), F.col(o))
+                .otherwise(F.pow(q, F.col(n)) * start + F.col(b)))
     return j.select(
         "geohash6",
         (F.coalesce(F.col("o_n"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0)))
         .cast("long").alias("geo_event_count"),
         fold("o_high", "first_high", "n", "b_high").alias("geo_high_priority_rate"),
-        fold("o_cl", "first_cl", "n", "b_cl").alias("geo_closure_rate"),
-        dur.alias("geo_avg_duration"),
+        fold_known("o_cl", "first_cl", "n_cl", "b_cl").alias("geo_closure_rate"),
+        fold_known("o_d", "first_d", "n_d", "b_d").alias("geo_avg_duration"),
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("events_applied"))
 
 

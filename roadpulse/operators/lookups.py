@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 def _high():
     return F.col("priority").eqNullSafe("High").cast("int")
 
@@ -106,14 +108,11 @@ def join_lookups(df: DataFrame, lk: Lookups) -> DataFrame:
     return out
 
 
-def median_table(joined_train: DataFrame, exact: bool = True) -> DataFrame:
-    """A-7: row-weighted medians of the joined training rows (one row).
-
-    ``exact`` uses the interpolated percentile (pandas median); the
-    approximate form bounds memory for very large row counts.
-    """
-    agg = (F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 100000)))
-    return joined_train.agg(*[agg(F.col(c)).cast("double").alias(c) for c in MEDIAN_COLS])
+def median_table(joined_train: DataFrame) -> DataFrame:
+    """A-7: row-weighted interpolated medians of the joined training rows (one row)."""
+    values = {c: percentiles(joined_train, c, [0.5])[0] for c in MEDIAN_COLS}
+    return joined_train.sparkSession.range(1).select(
+        *[F.lit(v).cast("double").alias(c) for c, v in values.items()])
 
 
 def fill_with(df: DataFrame, values: dict[str, float]) -> DataFrame:

@@ -26,3 +26,24 @@ def dense_index(df: DataFrame, key: str, name: str = "index",
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return (ranged.join(offsets.select("_p", "_off", "_m0"), "_p")
             .select(key, (F.col("_off") + F.col("_m") - F.col("_m0")).cast("int").alias(name)))
+
+
+def sums_below(df: DataFrame, key: str, columns: list[str], ascending: bool = True) -> DataFrame:
+    """``df`` (one row per ``key``) with ``<column>_below``: its sum over all earlier keys.
+
+    Rows are range-partitioned on the key; a task sums its own range, and one
+    row per task carries the sums of the ranges before it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.asc(key) if ascending else F.desc(key)
+    ranged = (df.repartitionByRange(n, order).withColumn("_task", F.spark_partition_id())
+              .checkpoint())  # pins which range a row is in
+    totals = ranged.groupBy("_task").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_task", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}")
+                                      for c in columns])
+    inside = Window.partitionBy("_task").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+            .join(totals, "_task")
+            .withColumns({f"{c}_below": F.col(f"{c}_below") + F.col(f"_{c}") for c in columns})
+            .drop("_task", *[f"_{c}" for c in columns]))

@@ -69,7 +69,7 @@ def enrich(df: DataFrame, state: FeatureState) -> DataFrame:
     return lk.flag_high_risk(out, state.lookups.high_risk)
 
 
-def fit_feature_state(train: DataFrame, exact_medians: bool = True) -> FeatureState:
+def fit_feature_state(train: DataFrame) -> FeatureState:
     """Fit lookups, medians, IQR bounds and modes on the training slice.
 
     The slice is persisted (memory, spilling to disk; lost blocks recompute
@@ -84,7 +84,7 @@ def fit_feature_state(train: DataFrame, exact_medians: bool = True) -> FeatureSt
         # cache entry lingers for the planner to match against later plans
         lookups = lk.Lookups(**{name: materialize(t) for name, t in fitted.items()})
         joined = lk.join_lookups(train, lookups)
-        medians = lk.median_table(joined, exact_medians).first().asDict()
+        medians = lk.median_table(joined).first().asDict()
         capper = IQRCapper("duration_minutes", 1.5).fit(train)
         imputer = CategoricalImputer().fit(train)
     finally:

@@ -63,14 +63,19 @@ def append_log(log: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet",
-             encoding: str = "utf-8") -> DataFrame:
-    """IO-2 scan with the explicit schema; CSV logs may be cp1252."""
+             encoding: str = "utf-8", since=None) -> DataFrame:
+    """IO-2 scan with the explicit schema; CSV logs may be cp1252.
+
+    With ``since`` only rows from that time on, read from the partitions of its day and later.
+    """
     if fmt == "csv":
         schema = T.StructType(PREDICTION_LOG.fields + [T.StructField("log_date", T.DateType())])
         df = (spark.read.schema(schema)
               .option("header", True).option("encoding", encoding).csv(path))
     else:
         df = spark.read.parquet(path)
+    if since is not None:
+        df = df.filter((F.col("log_date") >= F.to_date(F.lit(since))) & (F.col("timestamp") >= F.lit(since)))
     return df.select(*LOG_COLUMNS)
 
 
