@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontaminate import op1_benchmark_decontamination
+from .oracles import SQL  # noqa: F401  (DuckDB SQL of the queries that SQL can express)
 from .packing import op10_packing
 from .htmlmain import op4_html_main_text
 from .permutation import op2_permutation_index
@@ -19,6 +20,3 @@ REGISTRY = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_permutation_index, op3_warc_transactions, op4_html_main_text, op5_sharding,
     op6_toxicity_chain, op7_simhash_near_dedup, op8_quotation_linking, op9_pii_pseudonyms, op10_packing)}
 REGISTRY["pipeline"] = corpus_pipeline.run
-
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
