@@ -20,7 +20,9 @@ def hash_bucket(id_col: Column, seed: int = 42, buckets: int = 1000) -> Column:
 def assign_split(df: DataFrame, id_col: str = "incident_id", test_fraction: float = 0.2,
                  seed: int = 42, name: str = "split") -> DataFrame:
     cut = int(round(test_fraction * 1000))
-    b = hash_bucket(F.col(id_col), seed)
+    known = F.when(F.col(id_col).isNull(), F.raise_error(F.lit(f"{id_col} is null: a row without id has no slice"))
+                   .cast("string")).otherwise(F.col(id_col).cast("string"))
+    b = hash_bucket(known, seed)
     return df.withColumn(name, F.when(b < cut, "test").otherwise("train"))
 
 

@@ -69,3 +69,17 @@ def test_ema_skips_unknown_closure(spark):
                                        "geo_closure_rate double, geo_avg_duration double")
     row = ema.apply_ema(lookup, events).first()
     assert abs(row["geo_closure_rate"] - 1.0) < 1e-12 and abs(row["geo_high_priority_rate"] - 0.7) < 1e-12
+
+
+def test_csv_ids_and_corrupt_lines(spark, tmp_path):
+    from roadpulse.operators.split import assign_split
+    from roadpulse.sources.incidents import read_incidents
+    (tmp_path / "a.csv").write_text("id,event_cause,latitude\n" + "".join(f"FKID{k:05d},accident,12.9\n" for k in range(500))
+                                    + "7,accident\n8,accident,12.9,surplus\n9,accident,bad\n")
+    df = read_incidents(spark, str(tmp_path)).cache()
+    assert df.count() == 503 and df.where("incident_id is null").count() == 0
+    assert df.select("incident_id").distinct().count() == 503
+    corrupt = {r["_corrupt_record"] for r in df.where("_corrupt_record is not null").collect()}
+    assert corrupt == {"7,accident", "8,accident,12.9,surplus"}
+    split = {r["split"]: r["count"] for r in assign_split(df).groupBy("split").count().collect()}
+    assert 60 <= split["test"] <= 140
