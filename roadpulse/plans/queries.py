@@ -6,6 +6,8 @@ DuckDB comparison is independent of summation order.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,8 +169,12 @@ def q_log_summary(spark, sf_dir):
 
 
 def q_recent_predictions(spark, sf_dir):
-    log = derived_log(spark, sf_dir)
-    return round_doubles(ts_text(an.last_hours(log, _log_as_of(log), 24)))
+    """W-2 on the stored log: only the day partitions since the cutoff are read."""
+    path = _scratch(spark, "prediction-log")
+    predlog.append_log(derived_log(spark, sf_dir), path)
+    as_of = _log_as_of(predlog.read_log(spark, path))
+    recent = predlog.read_log(spark, path, since=as_of - _dt.timedelta(hours=24))
+    return round_doubles(ts_text(an.last_hours(recent, as_of, 24)))
 
 
 def q_latest_predictions(spark, sf_dir):
@@ -483,14 +489,12 @@ RETRAIN_CONFIG = dict(trials=1, folds=2, stack_folds=2, max_iter=4, parallelism=
 
 
 def q_retrain_status(spark, sf_dir):
-    """M-20 + IO-6: windowed retrain gated against the current model's
-    validation AUC; the record goes to a retrain log in the shared folder and
+    """M-20 + IO-6: windowed retrain gated against the current model's AUC on
+    the same test rows; the record goes to a retrain log in the shared folder and
     the latest status is read back (max_by over the timestamp)."""
     _, current = trained(spark, sf_dir)
     log_path = _scratch(spark, "retrain-log")
-    retrain.retrain_cycle(spark, prepared(spark, sf_dir), log_path,
-                          current_metric=current.metrics.get("priority_valid_auc"),
-                          cfg=training.TrainConfig(**RETRAIN_CONFIG))
+    retrain.retrain_cycle(spark, prepared(spark, sf_dir), log_path, current=current, cfg=training.TrainConfig(**RETRAIN_CONFIG))
     return round_doubles(retrain.latest_retrain_status(spark, log_path).drop("timestamp"))
 
 
@@ -519,10 +523,10 @@ def q_smote_balance(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.avg("latitude").alias("mean_latitude"))
 
 
-def _contribs(spark, sf_dir):
+def _contribs(spark, sf_dir, top=None):
     feats, bundle = trained(spark, sf_dir)
     return explain_op.contributions(bundle.priority, feats.filter(F.col("split") == "test"),
-                                    "incident_id")
+                                    "incident_id", top)
 
 
 def q_explanation_global(spark, sf_dir):
@@ -530,7 +534,7 @@ def q_explanation_global(spark, sf_dir):
 
 
 def q_explanation_factors(spark, sf_dir):
-    top = explain_op.top_factors(_contribs(spark, sf_dir), "incident_id", 5)
+    top = explain_op.top_factors(_contribs(spark, sf_dir, 5), "incident_id", 5)
     return explain_op.factor_text(top, "incident_id")
 
 

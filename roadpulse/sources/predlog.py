@@ -57,9 +57,12 @@ def derived_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_log(log: DataFrame, path: str) -> None:
-    """IO-3 sink: append, partitioned by date for pruning."""
+    """IO-3 sink: append, partitioned by date for pruning.
+
+    Rebalancing gathers a day's rows into few files and splits a large day.
+    """
     (log.select(*LOG_COLUMNS).withColumn("log_date", F.to_date("timestamp"))
-        .write.mode("append").partitionBy("log_date").parquet(path))
+        .hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path))
 
 
 def read_log(spark: SparkSession, path: str, fmt: str = "parquet",
