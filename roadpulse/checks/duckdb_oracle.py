@@ -860,3 +860,9 @@ SQL.update({
     "log_roundtrip": SQL["prediction_log"],
     "lookup_roundtrip": SQL["geo_stats"],
 })
+
+SQL["smote_balance"] = with_base("""
+SELECT road_closure_binary, false AS synthetic, n AS rows, n AS distinct_ids FROM classes
+UNION ALL
+SELECT road_closure_binary, true, most - n, most - n FROM classes, (SELECT max(n) AS most, min(n) AS least FROM classes)
+WHERE n = least AND most > least""", """classes AS (SELECT road_closure_binary, count(*) AS n FROM prepared WHERE split = 'train' GROUP BY 1)""")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import percentiles
+from .quantiles import percentiles_of
 
 def _high():
     return F.col("priority").eqNullSafe("High").cast("int")
@@ -110,7 +110,7 @@ def join_lookups(df: DataFrame, lk: Lookups) -> DataFrame:
 
 def median_table(joined_train: DataFrame) -> DataFrame:
     """A-7: row-weighted interpolated medians of the joined training rows (one row)."""
-    values = {c: percentiles(joined_train, c, [0.5])[0] for c in MEDIAN_COLS}
+    values = {c: v[0] for c, v in percentiles_of(joined_train, MEDIAN_COLS, [0.5]).items()}
     return joined_train.sparkSession.range(1).select(
         *[F.lit(v).cast("double").alias(c) for c, v in values.items()])
 

@@ -515,12 +515,13 @@ SMOTE_FEATURES = ["latitude", "longitude", "hour", "geo_event_count", "geo_closu
 
 
 def q_smote_balance(spark, sf_dir):
-    feats, _ = trained(spark, sf_dir)
-    train = feats.filter(F.col("split") == "train").select(
-        "incident_id", "road_closure_binary", *SMOTE_FEATURES)
+    """M-6 on the training slice: rows and distinct ids of each class, real and synthetic."""
+    feats, _ = build_training_features(incident_fixture(spark, sf_dir))
+    train = materialize(feats.filter(F.col("split") == "train").select(
+        "incident_id", "road_closure_binary", *SMOTE_FEATURES))
     out = smote_op.smote(train, "road_closure_binary", SMOTE_FEATURES, "incident_id")
     return out.groupBy("road_closure_binary", "synthetic").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("latitude").alias("mean_latitude"))
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("incident_id").alias("distinct_ids"))
 
 
 def _contribs(spark, sf_dir, top=None):
