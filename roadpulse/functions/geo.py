@@ -108,11 +108,6 @@ def with_geohash(df, lat: str = "latitude", lon: str = "longitude", out: str = "
     return df.withColumn(out, enc).drop(li, ai)
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in km."""
-    return F.lit(EARTH_RADIUS_KM) * haversine_rad(lat1, lon1, lat2, lon2)
-
-
 def haversine_rad(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle central angle in radians (haversine formula)."""
     p1, p2 = F.radians(lat1), F.radians(lat2)

@@ -177,11 +177,6 @@ def feature_matrix(df: DataFrame, numeric: list[str], categorical: list[str]) ->
     return df.withColumns(out)
 
 
-def coerce_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """P-13: numeric coercion, null on failure."""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
-
-
 def clustered_only(df: DataFrame, label: str = "cluster") -> DataFrame:
     """P-14: keep clustered points (label >= 0); NaN labels are null."""
     lab = F.col(label)

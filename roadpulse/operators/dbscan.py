@@ -244,9 +244,3 @@ def profiles_by_zone(profiles: DataFrame, points: DataFrame) -> DataFrame:
     """J-7 for every zone at once: (zone, profile) for clusters with a point in the zone."""
     hits = points.filter(F.col("cluster") >= 0).select("zone", "cluster").distinct()
     return hits.join(profiles, "cluster")
-
-
-def profiles_in_zone(profiles: DataFrame, points: DataFrame, zone: str) -> DataFrame:
-    """J-7: profiles of clusters with at least one clustered point in ``zone``."""
-    hits = points.filter((F.col("zone") == zone) & (F.col("cluster") >= 0)).select("cluster")
-    return profiles.join(hits, "cluster", "left_semi")

@@ -26,13 +26,6 @@ def assign_split(df: DataFrame, id_col: str = "incident_id", test_fraction: floa
     return df.withColumn(name, F.when(b < cut, "test").otherwise("train"))
 
 
-def split_frames(df: DataFrame, id_col: str = "incident_id", test_fraction: float = 0.2,
-                 seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    s = assign_split(df, id_col, test_fraction, seed)
-    return (s.filter(F.col("split") == "train").drop("split"),
-            s.filter(F.col("split") == "test").drop("split"))
-
-
 def fold_column(df: DataFrame, id_col: str = "incident_id", k: int = 5, seed: int = 7,
                 name: str = "fold") -> DataFrame:
     """K-fold id for CrossValidator(foldCol=...); deterministic per row."""

@@ -28,7 +28,7 @@ _DEFAULTS = {
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "roadpulse") -> SparkSession:
     """Local/test session with the settings the operators assume."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    cpus = os.cpu_count() or 8
     builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
