@@ -212,7 +212,7 @@ def _blocks(benchmark: DataFrame, width: int, block_words: int, id_col: str, tex
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10,
-                id_col: str = "item_id", bench_text: str = "text", shard_words: int = 1 << 20,
+                id_col: str = "item_id", bench_text: str = "text", shard_words: int = 1 << 19,
                 block_words: int = 2_000_000) -> DataFrame:
     """``docs`` with _dc_words (long), _dc_spans (merged word spans) and _dc_items (sorted ids)."""
     added = "_dc_words long, _dc_spans array<array<int>>, _dc_items array<string>"

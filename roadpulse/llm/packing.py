@@ -41,7 +41,7 @@ class Encoder:
     end at tokens marked as word ends; all else goes to it chunk by chunk.
     """
 
-    def __init__(self, path: str, cached: int = 700_000):
+    def __init__(self, path: str, cached: int = 400_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

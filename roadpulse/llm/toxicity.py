@@ -56,7 +56,7 @@ def count_features(text: str | None) -> dict[str, int]:
 class Vocabulary:
     """Numbers of the kept features; texts to sorted feature numbers."""
 
-    def __init__(self, kept: list[str], remembered: int = 400_000):
+    def __init__(self, kept: list[str], remembered: int = 150_000):
         # "f" stands for the presence of f, "2f" for two places or more
         self.number = {f: k for k, f in enumerate(kept)}
         self.known: dict[str, tuple[str, ...]] = {}
