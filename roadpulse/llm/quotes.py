@@ -114,19 +114,21 @@ def parents(parsed: DataFrame) -> DataFrame:
 def roots(links: DataFrame) -> DataFrame:
     """(id, root, depth) for every message with a parent, by pointer doubling.
 
-    Only rows that have not reached their root are carried on, and they join
-    the table of distinct targets, so a parent with many replies is read once.
+    A round asks only for messages that have not reached their first message;
+    one at depth d is done after about log2(d) rounds.
     """
-    now = stored(links.select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")), "pointers")
+    asking = stored(links.select("id", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth")), "pointers")
+    done = asking.limit(0)
     while True:
-        targets = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        joined = stored(now.join(targets, "at", "left")
+        targets = asking.union(done).select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        joined = stored(asking.join(targets, "at", "left")
                         .select("id", F.coalesce("next", "at").alias("at"),
                                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
                                 F.col("next").isNotNull().alias("moved")), "pointers")
-        now = joined.drop("moved")
-        if joined.where("moved").isEmpty():
-            return now.select("id", F.col("at").alias("root"), "depth")
+        done = done.union(joined.where("not moved").drop("moved"))
+        asking = joined.where("moved").drop("moved")
+        if asking.isEmpty():
+            return done.select("id", F.col("at").alias("root"), "depth")
 
 
 def conversations(messages: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
