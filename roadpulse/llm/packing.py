@@ -161,17 +161,19 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), counts
 
 
-def generate(demand: np.ndarray, capacity: int, rounds: int = 3000, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
-    """Patterns and amounts of the linear program's solution, by column generation.
+def generate(demand: np.ndarray, capacity: int, rounds: int = 20_000, gap: float = 1e-3
+             ) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+    """Patterns and amounts of the linear program's solution, by column generation, and prices.
 
-    ``demand[s - 1]`` pieces of size s.  Prices are smoothed towards those with
+    The prices of the sizes in demand let no pattern be worth more than 1, so
+    the demand at these prices is a lower bound on the sequences.  ``demand[s - 1]`` pieces of size s.  Prices are smoothed towards those with
     the best lower bound so far, which saves most of the pivots.  Stops when no
     column prices out, when the bound is within ``gap`` of the value, or after
     ``rounds`` (every basis on the way is feasible; only optimality is given up).
     """
     sizes = np.flatnonzero(demand) + 1
     if not len(sizes):
-        return []
+        return [], np.empty(0)
     need = demand[sizes - 1].astype(float)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / (capacity // sizes))
@@ -217,13 +219,13 @@ def generate(demand: np.ndarray, capacity: int, rounds: int = 3000, gap: float =
         counts = np.zeros(len(demand), int)
         counts[sizes - 1] = np.rint(basis[:, k]).astype(int)
         found.append((counts, float(amount[k])))
-    return found
+    return found, best
 
 
 def whole_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Integer pattern amounts that take all of ``demand``: the program rounded down, then first fit decreasing."""
     left, plan = demand.astype(np.int64).copy(), []
-    for counts, amount in generate(demand, capacity):
+    for counts, amount in generate(demand, capacity)[0]:
         used = counts > 0
         times = min(int(amount + 1e-6), int((left[used] // counts[used]).min()) if used.any() else 0)
         if times:
