@@ -1,15 +1,23 @@
 """Sequence packing as a cutting-stock problem solved by column generation.
 
 Every document becomes its token ids plus an end id.  Full sequences are cut
-off the front; the rest is one piece.  The histogram of piece lengths, in
-classes of ``grain`` tokens rounded up, is the demand of a cutting-stock
-linear program: a column is a pattern (how many pieces of each class one
-sequence takes), the restricted program is solved by the revised simplex
-method, and an unbounded-knapsack dynamic program over the dual prices finds
-the next column until none helps.  The solution is rounded down, the rest of
-the demand is filled by first-fit-decreasing patterns.  Only this histogram
-(at most capacity / grain rows) reaches the driver; pieces are ranked within
-their class in Spark and take the pattern places of their rank.
+off the front; the rest is one piece.  The histogram of piece lengths is the
+demand of a cutting-stock linear program over classes of lengths: exact up to
+128 tokens, above that at most a 64th of the length and at most ``grain``
+tokens wide, rounded up; capacity is counted in tokens.  A column is a pattern
+(how many pieces of each class one sequence takes), the restricted program is
+solved by the revised simplex method, and an unbounded-knapsack dynamic program
+over the dual prices finds the next column until none helps.  The solution is
+rounded down, the rest of the demand is filled by first-fit-decreasing
+patterns.  Only this histogram (at most capacity rows) reaches the driver;
+pieces are ranked within their class in Spark and take the pattern places of
+their rank.
+
+What room is left goes to cut pieces: with T tokens in all, the fullest
+ceil(T / capacity) sequences stay, the pieces of the others are laid end to
+end along the rooms of those that stay, and are cut where a room ends.  All
+sequences but the last are then full, and only pieces of the dissolved
+sequences are cut.
 
 Edge cases: null and empty texts are the end id alone.  A null id is kept.
 Repeated rows are separate documents.  An empty table gives no rows.  Special
@@ -112,7 +120,7 @@ def _encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            capacity: int = 4096, end_id: int = 2) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens): full sequences and one rest for each row."""
+    """(id, start, length, ids_crc32, doc_tokens, ids): full sequences and one rest for each row, the rest with its ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -121,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, cols = [], ([], [], [], [])
+                row, cols, rest = [], ([], [], [], []), []
                 for i, ids in enumerate(encode(part.column(1).to_pylist())):
                     ids += end
                     total = len(ids) // 4
@@ -130,34 +138,33 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         row.append(i)
                         for c, v in zip(cols, (start, len(piece) // 4, zlib.crc32(piece), total)):
                             c.append(v)
+                        rest.append(piece if len(piece) < 4 * capacity else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, pa.int64()) for c in cols)],
-                    ["id", "start", "length", "ids_crc32", "doc_tokens"])
+                    [part.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, pa.int64()) for c in cols),
+                     pa.array(rest, pa.binary())],
+                    ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, {PIECE}"))
+            .mapInArrow(run, f"id {kind}, {PIECE}, ids binary"))
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: best value and counts of item sizes 1..n within ``capacity``."""
-    n = len(values)
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
-    for room in range(1, capacity + 1):
-        k = min(n, room)
-        offers = values[:k] + best[room - 1::-1][:k]
-        i = int(np.argmax(offers))
-        if offers[i] > best[room - 1] + 1e-12:
-            best[room], took[room] = offers[i], i + 1
-        else:
-            best[room] = best[room - 1]
-    counts, room = np.zeros(n, int), capacity
-    while room > 0:
-        if took[room]:
-            counts[took[room] - 1] += 1
-            room -= took[room]
-        else:
-            room -= 1
+    for size in (np.flatnonzero(values[:capacity] > 0) + 1).tolist():
+        # rooms in rows of ``size``: down a column each row has space for one more of this size
+        rows = -(-(capacity + 1) // size)
+        gain = values[size - 1] * np.arange(rows)[:, None]
+        grid = np.zeros(rows * size)
+        grid[:capacity + 1] = best
+        offers = (np.maximum.accumulate(grid.reshape(rows, size) - gain) + gain).ravel()[:capacity + 1]
+        better = offers > best + 1e-12
+        best[better], took[better] = offers[better], size
+    counts, room = np.zeros(len(values), int), capacity
+    while room > 0 and took[room]:
+        counts[took[room] - 1] += 1
+        room -= took[room]
     return float(best[capacity]), counts
 
 
@@ -245,15 +252,76 @@ def whole_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray,
     return plan
 
 
+def cut_to_fill(seated: DataFrame, ids: DataFrame, capacity: int, block: int = 1 << 16) -> DataFrame:
+    """``seated`` (id, PIECE, _k, sequence_id, offset) in the fewest sequences; ``ids`` has (_k, ids) of the pieces to cut.
+
+    Sequences are placed by falling fill, so where a room or a dissolved
+    sequence begins on the line follows from the histogram of fills.  The line
+    is cut in blocks of ``block`` tokens; a task sees the intervals of one.
+    """
+    fill = stored(seated.groupBy("sequence_id").agg(F.sum("length").alias("used")), "fills")
+    levels = sorted(((r["used"], r["count"]) for r in fill.groupBy("used").count().collect()), reverse=True)
+    used, n = np.array(levels, np.int64).reshape(-1, 2).T  # at most capacity rows
+    first = np.cumsum(n) - n
+    keep = -(-int(used @ n) // capacity)
+    # before each level: room of the sequences that stay, tokens of those dissolved
+    stay = np.clip(keep - first, 0, n)
+    room, loose = np.cumsum((capacity - used) * stay), np.cumsum(used * (n - stay))
+    total = int(loose[-1]) if len(n) else 0
+    if total == 0:
+        return seated.drop("_k")
+    table = seated.sparkSession.createDataFrame(
+        [tuple(map(int, r)) for r in zip(used, first, room - (capacity - used) * stay, loose - used * (n - stay),
+                                         np.maximum(first, keep))],
+        "used long, first long, room long, loose long, cut_from long")
+    placed = (positions(fill, ["used"], ["sequence_id"], "nth").join(F.broadcast(table), "used")
+              .withColumn("place", F.col("first") + F.col("nth")))
+    placed = stored(placed.select(
+        "sequence_id", "used", "place", F.when(F.col("place") < keep, F.expr(f"room + nth * ({capacity} - used)")).alias("room"),
+        F.expr("loose + (place - cut_from) * used").alias("loose")), "places")
+    pieces_ = seated.join(placed.drop("used"), "sequence_id")
+    rooms = placed.where(f"place < {keep} and used < {capacity} and room < {total}").select(
+        F.lit(0).alias("kind"), F.col("place").alias("key"), F.col("room").alias("lo"),
+        F.least(F.expr(f"room + {capacity} - used"), F.lit(total)).alias("hi"), "used")
+    moved = pieces_.where(f"place >= {keep}").select(
+        F.lit(1).alias("kind"), F.col("_k").alias("key"), F.expr("loose + offset").alias("lo"),
+        F.expr("loose + offset + length").alias("hi"), F.lit(0).cast("long").alias("used"))
+
+    def match(frame):
+        import pandas as pd
+        at = int(frame["block"].iloc[0]) * block
+        frame = frame.sort_values("lo")
+        rest, piece = frame[frame["kind"] == 0], frame[frame["kind"] == 1]
+        cuts = np.unique(np.maximum(frame["lo"].to_numpy(), at))
+        ends = np.append(cuts[1:], min(at + block, total))
+        to = rest.iloc[np.searchsorted(rest["lo"].to_numpy(), cuts, side="right") - 1]
+        of = piece.iloc[np.searchsorted(piece["lo"].to_numpy(), cuts, side="right") - 1]
+        return pd.DataFrame({"_k": of["key"].to_numpy(), "place": to["key"].to_numpy(), "skip": cuts - of["lo"].to_numpy(),
+                             "n": ends - cuts, "at": to["used"].to_numpy() + cuts - to["lo"].to_numpy()})
+
+    blocks = rooms.union(moved).withColumn("block", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})")))
+    # a part that crosses from one block to the next is one part
+    parts = (blocks.groupBy("block").applyInPandas(match, "_k long, place long, skip long, n long, at long")
+             .groupBy("_k", "place").agg(F.min("skip").alias("skip"), F.sum("n").alias("n"), F.min("at").alias("at")))
+    crc = F.crc32(F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * n as int))"))
+    parts = (pieces_.where(f"place >= {keep}").select("_k", "id", "start", "doc_tokens").join(parts, "_k").join(ids, "_k")
+             .select("id", (F.col("start") + F.col("skip")).alias("start"), F.col("n").alias("length"),
+                     crc.alias("ids_crc32"), "doc_tokens", F.col("place").alias("sequence_id"), F.col("at").alias("offset")))
+    return pieces_.where(f"place < {keep}").select(
+        "id", "start", "length", "ids_crc32", "doc_tokens", F.col("place").alias("sequence_id"), "offset").unionByName(parts)
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
          capacity: int = 4096, end_id: int = 2, grain: int = 16) -> DataFrame:
     """Pieces with sequence_id and offset; see the module's docstring."""
+    wide = f"least({grain}, shiftleft(1, length(bin((length - 1) div 64)) - 1))"
     cut = stored(pieces(docs, tokenizer, id_col, text_col, capacity, end_id)
-                 .withColumn("size", F.ceil(F.col("length") / grain).cast("int")), "pieces")
-    demand = np.zeros(capacity // grain, np.int64)
-    for size, n in cut.groupBy("size").count().collect():  # at most capacity / grain rows
+                 .withColumns({"size": F.expr(f"cast(least({capacity}, ceil(length / {wide}) * {wide}) as int)"),
+                               "_k": F.monotonically_increasing_id()}), "pieces")
+    demand = np.zeros(capacity, np.int64)
+    for size, n in cut.groupBy("size").count().collect():  # at most capacity rows
         demand[size - 1] = n
-    plan = whole_patterns(demand, capacity // grain)
+    plan = whole_patterns(demand, capacity)
     # places of each class, in order of rank: from, per sequence, first sequence
     places: dict[int, list[tuple[int, int, int]]] = {}
     filled, first = np.zeros(len(demand), np.int64), 0
@@ -275,15 +343,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 sequence[at] = base[k] + (ranks[at] - begin[k]) // each[k]
             yield frame.drop(columns="rank").assign(sequence_id=sequence)
 
-    ranked = positions(cut, ["size"], ["id", "start"], "rank")
+    ranked = positions(cut.drop("ids"), ["size"], ["id", "start"], "rank")
     kind = docs.schema[id_col].dataType.simpleString()
-    seated = ranked.mapInPandas(seat, f"id {kind}, {PIECE}, size int, sequence_id long")
+    seated = ranked.mapInPandas(seat, f"id {kind}, {PIECE}, size int, _k long, sequence_id long")
     # a sequence holds at most ``capacity`` pieces, so this window is bounded
     before = "sum(length) over (partition by sequence_id order by size desc, id, start, ids_crc32, _k " \
              "rows between unbounded preceding and 1 preceding)"
-    return (seated.withColumn("_k", F.monotonically_increasing_id())
-            .select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                    F.coalesce(F.expr(before), F.lit(0)).alias("offset")))
+    seated = stored(seated.withColumn("offset", F.coalesce(F.expr(before), F.lit(0))).drop("size"), "seated")
+    return cut_to_fill(seated, cut.where("ids is not null").select("_k", "ids"), capacity).withColumnRenamed("id", id_col)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -107,3 +107,20 @@ def test_knapsack_price_equals_brute_force():
     best_worth = max(a * .11 + b * .19 + c * .35 + e * .52 for a in range(10) for b in range(5) for c in range(4)
                      for e in range(2) if a + 2 * b + 3 * c + 5 * e <= 9)
     assert worth == pytest.approx(best_worth) and counts @ values == pytest.approx(worth)
+
+
+@pytest.mark.parametrize("words", [8, 16, 2100, 4000])
+def test_sequences_of_one_length_are_full(spark, path, words):
+    docs = [(k, " ".join(["the"] * (words + (k % 3 if words > 99 else 0)))) for k in range(700 if words < 99 else 90)]
+    rows = pk.pack(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()
+    check(docs, rows, path)
+    total = sum(r.length for r in rows)
+    assert sorted({r.sequence_id for r in rows}) == list(range(-(-total // 4096)))
+
+
+def test_only_dissolved_sequences_are_cut(spark, path):
+    docs = [(k, " ".join(["the"] * (15 + 16 * (k % 40)))) for k in range(400)]
+    rows = pk.pack(spark.createDataFrame(docs, "doc_id long, text string"), path).collect()
+    check(docs, rows, path)
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096)
+    assert len(rows) - 400 <= 2 * len({r.sequence_id for r in rows})
