@@ -1,11 +1,13 @@
 """Format-preserving pseudonyms for personal data, in native expressions only.
 
 Found and validated: e-mail addresses, IPv4 addresses, phone numbers (an
-international + prefix, or the 3-3-4 grouping), payment cards (13 to 19 digits
+international + prefix, or the 3-3-4 grouping, also behind a trunk 1), payment cards (13 to 19 digits
 that pass the Luhn test), US social security numbers, IBANs (modulo 97),
 calendar dates (year-month-day, day-month-year, month-day-year) and secrets
-behind a name such as token or password.  Anything that fails its validation
-is left alone.
+behind a name such as token or password (the whole run of 16 or more letters,
+digits and ``_ - . + / =``, without final dots).  Anything that fails its
+validation is left alone, but a named secret that is no valid value of another
+kind is a secret.
 
 Every value is permuted by a keyed alternating Feistel network of eight
 rounds whose round function is SHA-2 over key, kind, round and the other half.
@@ -15,7 +17,7 @@ within the 146,097 days of 1800 to 2199, IPv4 addresses within 32 bits, social
 security numbers within their valid ranges.  Check digits are computed anew.
 A network is a permutation, so different values of a kind and length never
 meet, and equal values stay equal in every document.  Phone numbers keep their
-country prefix and IBANs their country; card and phone numbers that differ only
+country prefix or trunk 1 and IBANs their country; card and phone numbers that differ only
 in separators are one value, as long as a phone's prefix is set off in all or none.
 
 Edge cases: a null text stays null with no values.  Null ids are kept.
@@ -29,19 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Kind -> pattern, in order of preference at one position.
+#: Kind -> pattern, in order of preference at one position.  Group 1 is a named secret.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}"
              r"(?![A-Za-z0-9-])",
     "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD)"
-              r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])",
+              r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([A-Za-z0-9_+/-][A-Za-z0-9_+/=.-]{14,}[A-Za-z0-9_+/=-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
-    "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![-/.]?\d)",
+    "date": r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\2\d{2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![-/.]?\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?!-?\d)",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{1,7}|\d{4}([ -])\d{6}\4\d{5})(?!\d)",
-    "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
-             r"|(?<![\d+(.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\d])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\4\d{4}\4\d{1,7}|\d{4}([ -])\d{6}\5\d{5})(?!\d)",
+    "phone": r"(?:(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}"
+             r"|(?<![\d+(.-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\d])",
 }
 _ANY = "|".join(KINDS.values())
 
@@ -54,10 +56,8 @@ def _text(value: str) -> str:
 def _is(kind: str, value: str = "v") -> str:
     """Whether the whole of ``value`` has the form of ``kind``."""
     pattern = KINDS[kind]
-    for group in ("\\3", "\\4"):  # a lone pattern numbers its own groups
-        pattern = pattern.replace(group, "\\1" if group == "\\3" else "\\2")
-    if kind == "secret":  # the name before it was seen where it was found
-        pattern = r"[A-Za-z0-9_-]{16,128}"
+    for group in ("\\4", "\\5"):  # a lone pattern numbers its own groups
+        pattern = pattern.replace(group, "\\1" if group == "\\4" else "\\2")
     if kind == "date":
         pattern = r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{1,2}([-/.])\d{1,2}\2\d{4})"
     return f"{value} rlike {_text('^(?:' + pattern + ')$')}"
@@ -136,7 +136,7 @@ def _date(key: str) -> str:
 
 
 def replacement(key: str) -> str:
-    """SQL over a found value ``v``: struct(kind, new), kind null if it is not valid."""
+    """SQL over a found value ``v`` (``m.named``: found as a secret): struct(kind, new), kind null if it is not valid."""
     digits, plain = r"regexp_replace(v, '[^0-9]', '')", "regexp_replace(v, '[^0-9A-Z]', '')"
     bind = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
     octet = lambda part: f"cast(element_at(split(v, '[.]'), {part}) as bigint)"
@@ -155,7 +155,7 @@ def replacement(key: str) -> str:
     card_ok = bind(digits, "d", f"cast(substr(d, -1) as int) = {check(body)}")
     prefix = r"regexp_extract(v, '^[+][0-9]{1,3}', 0)"
     # without separators the prefix's own length cannot be told: the first digit alone is kept
-    kept = f"if({prefix} = '', '', if(v rlike '^[+][0-9]+$', substr(v, 1, 2), {prefix}))"
+    kept = f"if({prefix} = '', regexp_extract(v, '^1[ .-]', 0), if(v rlike '^[+][0-9]+$', substr(v, 1, 2), {prefix}))"
     phone = bind(kept, "q", bind("substr(v, length(q) + 1)", "t", bind(
         _string(key, "phone", r"regexp_replace(t, '[^0-9]', '')"), "w", f"concat(q, {_filled('t', 'w')})")))
     iban = bind(plain, "d", bind(_string(key, "iban", "substr(d, 5)"), "w", _filled(
@@ -168,20 +168,25 @@ def replacement(key: str) -> str:
             f"when {_is('ip')} then {made('ip', ip)} "
             f"when {_is('date')} then {bind(_date(key), 'x', f'if(x is null, {none}, ' + made('date', 'x') + ')')} "
             f"when {_is('ssn')} then {made('ssn', ssn)} "
-            f"when {_is('card')} then if({card_ok}, {made('card', card)}, {none}) "
+            f"when {_is('card')} and {card_ok} then {made('card', card)} "
             f"when {_is('phone')} and length({digits}) between 8 and 15 then {made('phone', phone)} "
             f"when {_is('iban')} and {iban_ok} then {made('iban', iban)} "
-            f"when {_is('secret')} and not ({_is('iban')}) then {made('secret', _string(key, 'secret', 'v'))} "
+            f"when m.named then {made('secret', _string(key, 'secret', 'v'))} "
             f"else {none} end")
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``text_col`` and ``_pii``, the kinds replaced in order of place."""
     name = "`" + text_col.replace("`", "``") + "`"
-    matches = f"if({name} rlike '[0-9@]|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD', " \
-              f"regexp_extract_all({name}, {_text(_ANY)}, 0), cast(array() as array<string>))"
+    names = "[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD"
+    every = lambda group: f"regexp_extract_all({name}, {_text(_ANY)}, {group})"
+    # which of the values were found as secrets is asked only where a name is followed by one
+    secrets = f"if({name} rlike {_text(f'(?:{names})' + "[\"\']?\\s{0,3}[:=]")}, {every(1)}, cast(array() as array<string>))"
+    matches = f"if({name} rlike '[0-9@]|{names}', transform(array({secrets}), s -> transform({every(0)}, (v, i) -> " \
+              "named_struct('v', v, 'named', coalesce(get(s, i), '') <> '')))[0], " \
+              "cast(array() as array<struct<v: string, named: boolean>>))"
     found = docs.withColumn("_pii", F.expr(matches))
-    found = found.withColumn("_pii", F.expr(f"transform(_pii, v -> {replacement(key)})"))
+    found = found.withColumn("_pii", F.expr(f"transform(_pii, m -> transform(array(m.v), v -> {replacement(key)})[0])"))
     text = (f"if(exists(_pii, m -> m.kind is not null), array_join(flatten(zip_with(split({name}, {_text(_ANY)}, -1), _pii, "
             f"(p, m) -> array(p, coalesce(m.new, '')))), ''), {name})")
     return found.withColumns({text_col: F.expr(text), "_pii": F.expr(

@@ -88,3 +88,21 @@ def test_query_changes_only_values(spark, sf):
             for card in re.findall(r"(?<!\d)\d{16}(?!\d)", docs[r.doc_id]):
                 assert (card in r.text) == (not luhn(card))
     assert changed
+
+
+def test_short_groups_trunk_prefixes_and_whole_secrets(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    values = ["+33 1 23 45 67 89", "+61 2 9374 4000", "+353 1 234 5678", "+46 8 123 456 78", "1-212-555-1234", "1.212.555.1234",
+              "1 (212) 555-1234"]
+    secrets = ["a1B2c3D4" * 40, jwt, "q1w2+e3r4/t5y6u7i8==", "9807915762804490", "AB12CDEFGHIJKLMNOP"]
+    rows = [(k, f"x {v}.") for k, v in enumerate(values)] + [(100 + k, f'token = "{v}" {k}') for k, v in enumerate(secrets)]
+    rows += [(200, f"token: {jwt}."), (201, "9807915762804490 AB12CDEFGHIJKLMNOP token"), (202, "key=212-555-1234 and 9807915762804490")]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    shape = lambda t: re.sub(r"\d", "9", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", t)))
+    for k, text in rows[:-2]:
+        assert got[k]._pii == ["phone" if k < 100 else "secret"] and shape(got[k].text) == shape(text)
+        assert got[k].text != text and not set(re.findall(r"\w{8,}", text)) & set(re.findall(r"\w{8,}", got[k].text))
+    assert got[201].text == rows[-2][1] and got[202]._pii == ["phone"]
+    last = [re.sub(r"\D", "", got[k].text) for k in (4, 5, 6)]
+    assert len(set(last)) == 1 and last[0][0] == "1" and got[0].text.startswith("x +33 ")
+    assert got[200].text[7:-1] == got[101].text.split('"')[1]
