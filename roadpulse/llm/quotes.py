@@ -6,12 +6,22 @@ words are its level-0 lines.  Every quoted passage, and every quoted block with
 the deeper quotes inside it, is normalised (quote signs off, lower case, white
 space to one space) and hashed.
 
-A message replies to the original whose whole body hashes to its block quoted
-at level 1, or else to the original whose own words hash to its first level-1
-passage.  Of several originals with that hash the one with the smallest id is
-taken, and only if it came earlier (has a smaller id than the reply).  Replies
-form a forest: pointers are doubled until every message knows its first
-message and depth.  A conversation is the tree of one first message, in order
+A passage's context is the nearest passage one level deeper right before it,
+that one's context in turn, and so on.  Quotes match with their levels counted
+one less.  In order of preference, a message replies to
+
+* ``block``: the original whose whole body is one of its quoted blocks;
+* ``passage``: the original whose own words are the level-1 words of a block;
+* ``part``: the original with a passage or paragraph that is one of its level-1
+  passages or paragraphs;
+* ``deeper``: the original with such a part quoted at level 2 or deeper, the
+  lowest level first (a message between the two is missing).
+
+Within ``passage`` and ``part`` the original that agrees on most levels of
+context wins, then the part that the fewest originals hold.  Of several
+originals the same by all this the one with the smallest id is taken, and only
+if it came earlier (has a smaller id than the reply).  Replies form a forest:
+pointers are doubled until every message knows its first message and depth.  A conversation is the tree of one first message, in order
 of depth, then id; ``text`` holds the own words without quotes.
 
 Edge cases: null and empty texts have no words and no quotes; they start a
@@ -32,8 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import positions, stored, table
 
-PARSED = ("id long, own string, full_hash string, own_hash string, block_hash string, passage_hash string, "
-          "n_quotes long, max_level long")
+PARSED = ("id long, own string, n_quotes long, max_level long, offers array<binary>, "
+          "asks array<struct<rank: int, kind: string, less: int, hash: binary>>")
 
 
 def level(line: str) -> tuple[int, str]:
@@ -83,32 +93,97 @@ def parse(text: str | None) -> tuple[str, str | None, str | None, str | None, st
             len(quoted), max((d for d, _ in quoted), default=0))
 
 
+def _chain(tag: str, base: list[tuple[int, str]], parts: list[tuple[int, str]], at: int) -> list[bytes]:
+    """Keys of ``base`` alone, with one level of the context that passage ``at`` has, with two, and so on."""
+    zero = depth = parts[at][0]
+    lines = [" ".join(words.lower().split()) for _, words in base]
+    if not any(lines):
+        return []
+    state = hashlib.sha256("\n".join([tag, *(x for x in lines if x)]).encode())
+    keys = [state.digest()[:16]]
+    while at and parts[at - 1][0] > zero:
+        at -= 1
+        level_, words = parts[at]
+        if level_ <= depth:
+            break
+        if level_ == depth + 1:
+            depth = level_
+            state.update(("\n\n" + " ".join(words.lower().split())).encode())
+            keys.append(state.digest()[:16])
+    return keys
+
+
+def _pieces(part: tuple[int, str]) -> list[list[tuple[int, str]]]:
+    """A passage, and its paragraphs if it has several."""
+    paragraphs, lines = [], []
+    for line in [*part[1].split("\n"), ""]:
+        if line.strip():
+            lines.append(line)
+        elif lines:
+            paragraphs.append([(part[0], "\n".join(lines))])
+            lines = []
+    return [[part], *(paragraphs if len(paragraphs) > 1 else [])]
+
+
+def keys(text: str | None) -> tuple[list[bytes], list[tuple[int, str, int, bytes]]]:
+    """What a message offers to be quoted by, and what its quotes ask for: (rank, kind, less context is more, hash)."""
+    parts = passages(text)
+    offers, asks = set(), set()
+
+    def whole(tag: str, block: list[tuple[int, str]], base: int) -> list[bytes]:
+        got = _hash(block, base)
+        return [hashlib.sha256(f"{tag}{got}".encode()).digest()[:16]] if got else []
+
+    own = [i for i, p in enumerate(parts) if p[0] == 0]
+    offers.update(whole("body", parts, 0))
+    if own:
+        offers.update(_chain("own", [parts[i] for i in own], parts, own[0]))
+    blocks: list[list[int]] = []
+    for i, (depth, _) in enumerate(parts):
+        if depth and i and parts[i - 1][0]:
+            blocks[-1].append(i)
+        elif depth:
+            blocks.append([i])
+        for piece in _pieces(parts[i]):
+            if depth > 1:
+                asks.update((1 + depth, "deeper", 0, h) for h in _chain("part", piece, parts, i)[:1])
+            elif depth:
+                asks.update((2, "part", -n, h) for n, h in enumerate(_chain("part", piece, parts, i)))
+            else:
+                offers.update(_chain("part", piece, parts, i))
+    for block in blocks:
+        asks.update((0, "block", 0, h) for h in whole("body", [parts[i] for i in block], 1))
+        first = [i for i in block if parts[i][0] == 1]
+        if first:
+            asks.update((1, "passage", -n, h) for n, h in
+                        enumerate(_chain("own", [parts[i] for i in first], parts, first[0])))
+    return sorted(offers), sorted(asks)
+
+
 def parse_messages(messages: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
     def run(frames):
         for frame in frames:
-            rows = [parse(t if isinstance(t, str) else None) for t in frame["text"]]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")[1:]])
-            out.insert(0, "id", frame["id"].to_numpy())
-            yield out
+            rows = []
+            for id_, text in zip(frame["id"], frame["text"]):
+                text = text if isinstance(text, str) else None
+                own, *_, n_quotes, max_level = parse(text)
+                offers, asks = keys(text)
+                rows.append((id_, own, n_quotes, max_level, offers,
+                             [dict(zip(("rank", "kind", "less", "hash"), a)) for a in asks]))
+            yield pd.DataFrame(rows, columns=["id", "own", "n_quotes", "max_level", "offers", "asks"])
     return (messages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .where("id is not null").groupBy("id").agg(F.min("text").alias("text")).mapInPandas(run, PARSED))
 
 
 def parents(parsed: DataFrame) -> DataFrame:
     """(id, parent, linked_by) of messages whose quotes match an earlier original."""
-    def originals(column: str) -> DataFrame:
-        # one row per hash, so a text that many messages share joins to one original
-        return (parsed.where(f"{column} is not null").groupBy(F.col(column).alias("hash"))
-                .agg(F.min("id").alias("first")))
-
-    def matched(column: str, of: str, how: str) -> DataFrame:
-        asked = parsed.where(f"{column} is not null").select("id", F.col(column).alias("hash"))
-        return (asked.join(originals(of), "hash").where("first < id")
-                .select("id", F.struct(F.lit(how).alias("linked_by"), F.col("first").alias("parent")).alias("m")))
-
-    # 'block' sorts before 'passage': the closer match wins
-    both = matched("block_hash", "full_hash", "block").union(matched("passage_hash", "own_hash", "passage"))
-    return both.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.parent", "m.linked_by")
+    asked = parsed.select("id", F.explode("asks").alias("a")).select("id", "a.*")
+    # one row per hash, so a text that many messages share joins to one original
+    offered = (parsed.select("id", F.explode("offers").alias("hash")).groupBy("hash")
+               .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    best = F.min(F.struct("rank", "less", "n", F.col("first").alias("parent"), F.col("kind").alias("linked_by")))
+    return (asked.join(offered, "hash").where("first < id").groupBy("id").agg(best.alias("m"))
+            .select("id", "m.parent", "m.linked_by"))
 
 
 def roots(links: DataFrame) -> DataFrame:

@@ -62,3 +62,20 @@ def test_long_chain_and_popular_parent(spark):
     got = columns(qt.conversations(spark.createDataFrame(chain + crowd, "message_id long, text string")))
     assert got == plain(chain + crowd)
     assert got[40][:2] == (1, 39)
+
+
+def test_every_passage_and_context_links(spark):
+    rows = [(1, "Shall we meet?"), (2, "> Shall we meet?\nok"), (3, "Is it done?"), (4, "> Is it done?\nok"),
+            (5, ">> Is it done?\n> ok\nfine"), (6, ">> Shall we meet?\n> ok\ngood"),
+            (7, "First point.\n\nSecond point."), (8, "> Second point.\nagreed"),
+            (9, "> unknown\nwhat\n> First point.\nyes"), (10, ">> Second point.\n> lost\nhm"),
+            (11, "> agreed\nbut\n> nothing\nmore"), (12, "> ok\nbare"),
+            (13, ">>> Is it done?\n>> ok\n> fine\nlast")]
+    got = columns(qt.conversations(spark.createDataFrame(rows, "message_id long, text string")))
+    assert {k: got[k][2:4] for k in got if got[k][2]} == {
+        2: (1, "block"), 4: (3, "block"), 5: (4, "block"), 6: (2, "block"), 8: (7, "part"), 9: (7, "part"),
+        10: (7, "deeper"), 11: (8, "passage"), 12: (2, "passage"), 13: (5, "block")}
+    # trimmed quotes: no block is a whole body, only the context tells the two texts "ok" apart
+    rows = [(1, ">> a\n> b\nok"), (2, ">> c\n> d\nok"), (3, ">> d\n> ok\nx"), (4, ">> b\n> ok\ny")]
+    got = columns(qt.conversations(spark.createDataFrame(rows, "message_id long, text string")))
+    assert got[3][2:4] == (2, "passage") and got[4][2:4] == (1, "passage")
