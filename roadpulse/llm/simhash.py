@@ -156,22 +156,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              width: int = 3, max_distance: int = 2) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id, of rows with one id the smallest.
+    """``docs`` with one row of each group: that with the smallest id, of the group's rows with one id the smallest.
 
-    Of a group without any id the smallest row stays.
+    Of a group without any id the smallest row stays.  An id whose rows differ
+    in fingerprint stands for several groups; its rows are told apart by theirs.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     found = groups(prints, max_distance)
-    chosen = (prints.join(found, "fp").where("id = component_id").select("id", F.col("root").alias("_root")).distinct())
+    chosen = stored(prints.join(found, "fp").where("id = component_id").select("id", "fp", "root").distinct(), "simhash")
+    several = prints.where("id is not null").groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    unclear = stored(chosen.join(several, "id", "left_semi"), "simhash")
+    clear = chosen.join(unclear.select("id"), "id", "left_anti").select("id").distinct()
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
-    named = (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), row)
-             .join(chosen, F.col("_id") == chosen["id"]).groupBy("_id").agg(F.min("_row").alias("_row")))
+    with_id = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), row)
+    named = (with_id.join(clear, F.col("_id") == clear["id"]).groupBy("_id").agg(F.min("_row").alias("_row"))
+             .select("_row.*"))
+    if not unclear.isEmpty():
+        told = (with_id.join(unclear, F.col("_id") == unclear["id"])
+                .withColumn("_fp", _fingerprint_of(F.col("_row")[text_col], width)).where("_fp = fp")
+                .groupBy("root").agg(F.min("_row").alias("_row")))
+        named = named.union(told.select("_row.*"))
     without = docs.where(F.col(id_col).isNull())
     nameless = (without.select(row, F.struct(F.col(id_col), F.col(text_col)).alias("_key")).distinct()
                 .withColumn("_fp", _fingerprint_of(F.col("_key")[text_col], width))
                 .join(found.where("component_id is null"), F.col("_fp") == F.col("fp"))
                 .groupBy("root").agg(F.min("_row").alias("_row")))
-    return named.select("_row.*").union(nameless.select("_row.*"))
+    return named.union(nameless.select("_row.*"))
 
 
 def _fingerprint_of(text: Column, width: int) -> Column:

@@ -79,3 +79,11 @@ def test_components_of_path_star_and_cycle(spark):
     want = {i: 100 for i in range(100, 161)} | {i: 5 for i in range(5, 40)} | {i: 50 for i in range(50, 53)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long").select(F.col("a"), "b")).count() == 0
+
+
+def test_keep_one_keeps_every_group_when_texts_share_an_id(spark):
+    one, two, three = ("alpha beta gamma delta", "one two three four five", "red green blue black white")
+    rows = [(1, one), (1, two), (2, one), (3, two), (5, three), (5, "lone text without any company here"), (4, three), (None, three)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in sh.keep_one(frame).collect())
+    assert got == sorted([(1, one), (1, two), (4, three), (5, rows[5][1])])
