@@ -6,7 +6,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from paths import SF0001
 from roadpulse.operators.clean import in_box
 from roadpulse.operators.dbscan import cluster_profiles, dbscan
 from roadpulse.sources.fixture import incident_fixture
