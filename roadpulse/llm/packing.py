@@ -17,7 +17,8 @@ What room is left goes to cut pieces: with T tokens in all, the fullest
 ceil(T / capacity) sequences stay, the pieces of the others are laid end to
 end along the rooms of those that stay, and are cut where a room ends.  All
 sequences but the last are then full, and only pieces of the dissolved
-sequences are cut.
+sequences are cut; their documents are encoded once more for the checksums of
+the parts, so no ids are ever stored.
 
 Edge cases: null and empty texts are the end id alone.  A null id is kept.
 Repeated rows are separate documents.  An empty table gives no rows.  Special
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import positions, stored
 
-PIECE = ("start long, length long, ids_crc32 long, doc_tokens long")
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
+COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 class Encoder:
@@ -118,9 +120,15 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): a row's id, its text and the text's hash; rows equal in id and text are interchangeable."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
            capacity: int = 4096, end_id: int = 2) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, ids): full sequences and one rest for each row, the rest with its ids."""
+    """(id, h, start, length, ids_crc32, doc_tokens): full sequences and one rest for each row."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -129,8 +137,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                row, cols, rest = [], ([], [], [], []), []
-                for i, ids in enumerate(encode(part.column(1).to_pylist())):
+                row, cols = [], ([], [], [], [])
+                for i, ids in enumerate(encode(part.column(2).to_pylist())):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
@@ -138,19 +146,52 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         row.append(i)
                         for c, v in zip(cols, (start, len(piece) // 4, zlib.crc32(piece), total)):
                             c.append(v)
-                        rest.append(piece if len(piece) < 4 * capacity else None)
+                take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, pa.int64()) for c in cols),
-                     pa.array(rest, pa.binary())],
-                    ["id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                    [part.column(0).take(take), part.column(1).take(take), *(pa.array(c, pa.int64()) for c in cols)],
+                    ["id", "h", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, {PIECE}, ids binary"))
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h long, {PIECE}")
 
 
-def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: best value and counts of item sizes 1..n within ``capacity``."""
+def checksums(docs: DataFrame, parts: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
+    """``parts`` (id, h, start, length, ...) with ids_crc32; only the documents that have parts are encoded again."""
+    end = np.array([end_id], "<u4").tobytes()
+    kind = docs.schema[id_col].dataType.simpleString()
+    spans = parts.groupBy("id", "h").agg(F.collect_set(F.struct("start", "length")).alias("spans"))  # one text's own cuts
+    texts = _rows(docs, id_col, text_col).withColumnsRenamed({"id": "id_", "h": "h_"})
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
+
+    def run(batches):
+        import pyarrow as pa
+        encode = _encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, cols = [], ([], [], [])
+                for i, (ids, own) in enumerate(zip(encode(part.column(2).to_pylist()), part.column(3).to_pylist())):
+                    ids += end
+                    for span in own:
+                        start, length = span["start"], span["length"]
+                        row.append(i)
+                        for c, v in zip(cols, (start, length, zlib.crc32(ids[4 * start:4 * (start + length)]))):
+                            c.append(v)
+                take = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), *(pa.array(c, pa.int64()) for c in cols)],
+                    ["id_", "h_", "start", "length", "ids_crc32"])
+
+    found = (texts.join(spans, same).select("id", "h", "text", "spans")
+             .mapInArrow(run, f"id_ {kind}, h_ long, start long, length long, ids_crc32 long")
+             .groupBy("id_", "h_", "start", "length").agg(F.max("ids_crc32").alias("ids_crc32"))  # repeated rows agree
+             .withColumnsRenamed({"start": "start_", "length": "length_"}))
+    return parts.join(found, same & (F.col("start") == F.col("start_")) & (F.col("length") == F.col("length_"))
+                      ).drop("id_", "h_", "start_", "length_")
+
+
+def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack over item sizes 1..n: for each room its best value, and the size taken last (0: none)."""
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
     for size in (np.flatnonzero(values[:capacity] > 0) + 1).tolist():
         # rooms in rows of ``size``: down a column each row has space for one more of this size
@@ -161,71 +202,132 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
         offers = (np.maximum.accumulate(grid.reshape(rows, size) - gain) + gain).ravel()[:capacity + 1]
         better = offers > best + 1e-12
         best[better], took[better] = offers[better], size
-    counts, room = np.zeros(len(values), int), capacity
+    return best, took
+
+
+def pattern(took: np.ndarray, room: int, length: int) -> np.ndarray:
+    """Counts of the sizes that fill ``room`` best."""
+    counts = np.zeros(length, int)
     while room > 0 and took[room]:
         counts[took[room] - 1] += 1
         room -= took[room]
-    return float(best[capacity]), counts
+    return counts
 
 
-def generate(demand: np.ndarray, capacity: int, rounds: int = 20_000, gap: float = 1e-3
+def first_fit(left: np.ndarray, capacity: int):
+    """Patterns and how often each is used, first fit decreasing, until nothing is left of the demand."""
+    left = left.astype(np.int64).copy()
+    while left.any():
+        counts, room = np.zeros(len(left), np.int64), capacity
+        while room and (fit := np.flatnonzero(left[:room] > counts[:room])).size:
+            size = int(fit[-1]) + 1
+            take = min(room // size, int(left[size - 1] - counts[size - 1]))
+            counts[size - 1] += take
+            room -= take * size
+        used = counts > 0
+        times = int((left[used] // counts[used]).min())
+        left -= times * counts
+        yield counts, times
+
+
+class Program:
+    """The restricted linear program: a basis of patterns, its inverse, amounts and costs."""
+
+    def __init__(self, need: np.ndarray, each: np.ndarray):
+        self.need, self.basis, self.inverse = need, np.diag(each.astype(float)), np.diag(1.0 / each)
+        self.amount, self.cost, self.pivots = self.inverse @ need, np.ones(len(need)), 0
+
+    def dual(self) -> np.ndarray:
+        return self.cost @ self.inverse
+
+    def enter(self, column: np.ndarray, price_of: float = 1.0) -> bool:
+        """Put ``column`` in the basis; not if only a pivot near zero could make room for it."""
+        way = self.inverse @ column
+        ratio = np.full(len(way), np.inf)
+        up = way > 1e-7
+        ratio[up] = self.amount[up] / way[up]
+        ties = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-12) + 1e-12)
+        out = int(ties[np.argmax(way[ties])])  # of equal ratios the largest pivot keeps the inverse accurate
+        if not np.isfinite(ratio[out]):
+            return False
+        self.amount = np.maximum(self.amount - ratio[out] * way, 0)
+        self.amount[out] = ratio[out]
+        self.basis[:, out], self.cost[out] = column, price_of
+        row = self.inverse[out] / way[out]
+        self.inverse -= np.outer(way, row)
+        self.inverse[out] = row
+        self.pivots += 1
+        if self.pivots % 100 == 0:
+            self.inverse = np.linalg.inv(self.basis)
+            self.amount = np.maximum(self.inverse @ self.need, 0)
+        return True
+
+    def offer(self, column: np.ndarray) -> bool:
+        """Enter a pattern if it is worth more than a sequence at the present prices."""
+        return bool(self.dual() @ column > 1 + 1e-9) and self.enter(column)
+
+
+def generate(demand: np.ndarray, capacity: int, gap: float = 2e-3, several: int = 48, patience: int = 200
              ) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
     """Patterns and amounts of the linear program's solution, by column generation, and prices.
 
-    The prices of the sizes in demand let no pattern be worth more than 1, so
-    the demand at these prices is a lower bound on the sequences.  ``demand[s - 1]`` pieces of size s.  Prices are smoothed towards those with
-    the best lower bound so far, which saves most of the pivots.  Stops when no
-    column prices out, when the bound is within ``gap`` of the value, or after
-    ``rounds`` (every basis on the way is feasible; only optimality is given up).
+    ``demand[s - 1]`` pieces of size s.  The basis starts with patterns of one
+    size, and the patterns of first fit decreasing are offered first.  One dynamic
+    program prices many columns: the best pattern around each size, of which
+    the ``several`` most valuable ones are offered in turn.  The returned prices let no
+    pattern be worth more than 1, so the demand at these prices is a lower
+    bound on the sequences.  Prices are smoothed towards those with the best
+    bound so far, which saves most of the pivots.  Stops when no column prices
+    out or the bound is within ``gap`` of the value; the gap asked for
+    doubles after every ``patience`` dynamic programs, so the search ends.
     """
     sizes = np.flatnonzero(demand) + 1
     if not len(sizes):
         return [], np.empty(0)
     need = demand[sizes - 1].astype(float)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1.0 / (capacity // sizes))
-    amount, cost = inverse @ need, np.ones(len(sizes))
-    best, bound, pull = sizes / capacity, float(sizes @ need) / capacity, 0.8
-    values = np.zeros(int(sizes.max()))
-    for step in range(rounds):
-        dual = cost @ inverse
-        price_of = 1.0
-        for weight in (pull, 0.0):
-            if dual.min() < -1e-9:  # more than asked of this class: surplus enters for nothing
-                column, price_of = np.zeros(len(sizes)), 0.0
-                column[int(np.argmin(dual))] = -1
+    lp = Program(need, capacity // sizes)
+    for counts, _ in first_fit(demand, capacity):
+        lp.offer(counts[sizes - 1].astype(float))
+    best, bound = sizes / capacity, float(sizes @ need) / capacity
+    values, tried = np.zeros(int(sizes.max())), 0
+    while True:
+        dual = lp.dual()
+        for _ in range(len(sizes)):  # more than asked of a class: its surplus enters for nothing
+            if dual.min() >= -1e-9:
+                break
+            column = np.zeros(len(sizes))
+            column[int(np.argmin(dual))] = -1
+            if not lp.enter(column, 0.0):
                 break
+            dual = lp.dual()
+        entered = False
+        for weight in (0.8, 0.0):
             trial = np.maximum(weight * best + (1 - weight) * dual, 0)
             values[sizes - 1] = trial
-            worth, counts = price(values, capacity)
-            column = counts[sizes - 1].astype(float)
+            filled, took = price(values, capacity)
+            tried += 1
+            worth = float(filled[capacity])
             if worth > 0 and float(trial @ need) / max(worth, 1) > bound:
                 best, bound = trial / max(worth, 1), float(trial @ need) / max(worth, 1)
-            if dual @ column > 1 + 1e-9:
+            around = trial + filled[capacity - sizes]
+            seen = set()
+            for k in np.argsort(-around, kind="stable")[:several]:
+                counts = pattern(took, capacity - int(sizes[k]), len(demand))
+                counts[sizes[k] - 1] += 1
+                column = counts[sizes - 1].astype(float)
+                if column.tobytes() not in seen:
+                    seen.add(column.tobytes())
+                    entered |= lp.offer(column)
+            if entered:
                 break
-        else:
+        value = float(lp.cost @ lp.amount)
+        if not entered or value - bound <= gap * 2 ** (tried // patience) * value:
             break
-        if cost @ amount - bound <= gap * (cost @ amount):
-            break
-        way = inverse @ column
-        up = way > 1e-9
-        ratio = np.full(len(way), np.inf)
-        ratio[up] = amount[up] / way[up]
-        out = int(np.argmin(ratio))
-        amount = np.maximum(amount - ratio[out] * way, 0)
-        amount[out] = ratio[out]
-        basis[:, out], cost[out] = column, price_of
-        row = inverse[out] / way[out]
-        inverse -= np.outer(way, row)
-        inverse[out] = row
-        if step % 100 == 99:
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ need, 0)
     found = []
-    for k in np.flatnonzero(cost):
+    for k in np.flatnonzero(lp.cost):
         counts = np.zeros(len(demand), int)
-        counts[sizes - 1] = np.rint(basis[:, k]).astype(int)
-        found.append((counts, float(amount[k])))
+        counts[sizes - 1] = np.rint(lp.basis[:, k]).astype(int)
+        found.append((counts, float(lp.amount[k])))
     return found, best
 
 
@@ -238,22 +340,11 @@ def whole_patterns(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray,
         if times:
             left -= times * counts
             plan.append((counts, times))
-    while left.any():
-        counts, room = np.zeros(len(left), np.int64), capacity
-        while room and (fit := np.flatnonzero(left[:room] > counts[:room])).size:
-            size = int(fit[-1]) + 1
-            take = min(room // size, int(left[size - 1] - counts[size - 1]))
-            counts[size - 1] += take
-            room -= take * size
-        used = counts > 0
-        times = int((left[used] // counts[used]).min())
-        left -= times * counts
-        plan.append((counts, times))
-    return plan
+    return [*plan, *first_fit(left, capacity)]
 
 
-def cut_to_fill(seated: DataFrame, ids: DataFrame, capacity: int, block: int = 1 << 16) -> DataFrame:
-    """``seated`` (id, PIECE, _k, sequence_id, offset) in the fewest sequences; ``ids`` has (_k, ids) of the pieces to cut.
+def cut_to_fill(seated: DataFrame, capacity: int, block: int = 1 << 16) -> DataFrame:
+    """``seated`` (id, h, PIECE, _k, sequence_id, offset) in the fewest sequences; a cut piece has no checksum yet.
 
     Sequences are placed by falling fill, so where a room or a dissolved
     sequence begins on the line follows from the histogram of fills.  The line
@@ -269,7 +360,7 @@ def cut_to_fill(seated: DataFrame, ids: DataFrame, capacity: int, block: int = 1
     room, loose = np.cumsum((capacity - used) * stay), np.cumsum(used * (n - stay))
     total = int(loose[-1]) if len(n) else 0
     if total == 0:
-        return seated.drop("_k")
+        return seated.select("id", "h", *COLUMNS)
     table = seated.sparkSession.createDataFrame(
         [tuple(map(int, r)) for r in zip(used, first, room - (capacity - used) * stay, loose - used * (n - stay),
                                          np.maximum(first, keep))],
@@ -303,12 +394,12 @@ def cut_to_fill(seated: DataFrame, ids: DataFrame, capacity: int, block: int = 1
     # a part that crosses from one block to the next is one part
     parts = (blocks.groupBy("block").applyInPandas(match, "_k long, place long, skip long, n long, at long")
              .groupBy("_k", "place").agg(F.min("skip").alias("skip"), F.sum("n").alias("n"), F.min("at").alias("at")))
-    crc = F.crc32(F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * n as int))"))
-    parts = (pieces_.where(f"place >= {keep}").select("_k", "id", "start", "doc_tokens").join(parts, "_k").join(ids, "_k")
-             .select("id", (F.col("start") + F.col("skip")).alias("start"), F.col("n").alias("length"),
-                     crc.alias("ids_crc32"), "doc_tokens", F.col("place").alias("sequence_id"), F.col("at").alias("offset")))
+    moved = (pieces_.where(f"place >= {keep}").select("_k", "id", "h", "start", "length", "ids_crc32", "doc_tokens").join(parts, "_k")
+             .select("id", "h", (F.col("start") + F.col("skip")).alias("start"), F.col("n").alias("length"),
+                     F.when(F.col("n") == F.col("length"), F.col("ids_crc32")).alias("ids_crc32"), "doc_tokens",
+                     F.col("place").alias("sequence_id"), F.col("at").alias("offset")))
     return pieces_.where(f"place < {keep}").select(
-        "id", "start", "length", "ids_crc32", "doc_tokens", F.col("place").alias("sequence_id"), "offset").unionByName(parts)
+        "id", "h", *COLUMNS[:-2], F.col("place").alias("sequence_id"), "offset").unionByName(moved)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -343,14 +434,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 sequence[at] = base[k] + (ranks[at] - begin[k]) // each[k]
             yield frame.drop(columns="rank").assign(sequence_id=sequence)
 
-    ranked = positions(cut.drop("ids"), ["size"], ["id", "start"], "rank")
+    ranked = positions(cut, ["size"], ["id", "start"], "rank")
     kind = docs.schema[id_col].dataType.simpleString()
-    seated = ranked.mapInPandas(seat, f"id {kind}, {PIECE}, size int, _k long, sequence_id long")
+    seated = ranked.mapInPandas(seat, f"id {kind}, h long, {PIECE}, size int, _k long, sequence_id long")
     # a sequence holds at most ``capacity`` pieces, so this window is bounded
     before = "sum(length) over (partition by sequence_id order by size desc, id, start, ids_crc32, _k " \
              "rows between unbounded preceding and 1 preceding)"
     seated = stored(seated.withColumn("offset", F.coalesce(F.expr(before), F.lit(0))).drop("size"), "seated")
-    return cut_to_fill(seated, cut.where("ids is not null").select("_k", "ids"), capacity).withColumnRenamed("id", id_col)
+    done = stored(cut_to_fill(seated, capacity), "filled")
+    cuts = checksums(docs, done.where("ids_crc32 is null").drop("ids_crc32"), tokenizer, id_col, text_col, end_id)
+    return (done.where("ids_crc32 is not null").unionByName(cuts)
+            .select(F.col("id").alias(id_col), *COLUMNS))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -12,13 +12,21 @@ kind is a secret.
 Every value is permuted by a keyed alternating Feistel network of eight
 rounds whose round function is SHA-2 over key, kind, round and the other half.
 Strings are permuted character by character within their class (digits,
-lower, upper), so separators and letter case stay where they are; dates move
-within the 146,097 days of 1800 to 2199, IPv4 addresses within 32 bits, social
-security numbers within their valid ranges.  Check digits are computed anew.
-A network is a permutation, so different values of a kind and length never
-meet, and equal values stay equal in every document.  Phone numbers keep their
-country prefix or trunk 1 and IBANs their country; card and phone numbers that differ only
-in separators are one value, as long as a phone's prefix is set off in all or none.
+lower, upper), so separators and letter case stay where they are; IPv4
+addresses move within 32 bits, social security numbers within their valid
+ranges.  Dates of 1800 to 2199 move within the dates of their form (order and
+number of digits of day and month), walking on from places that no calendar
+has; the forms with two-digit day and month, but for month-first ones, share
+one permutation, so 2001-02-03 and 03/02/2001 stay linked.  Check digits are
+computed anew.  A network is a permutation, so different values of a kind and
+form never meet, and equal values stay equal in every document.
+
+What stays in clear: an e-mail's domain (``John@`` and ``john@`` are different
+values, as case is kept), a phone's country prefix or trunk 1 and an IBAN's
+country.  Card and phone numbers that differ only in separators are one value,
+as long as a phone's prefix is set off in all or none.  Not looked for:
+national phone formats other than 3-3-4, IPv6, dates with month names, and
+secrets without a name before them.
 
 Edge cases: a null text stays null with no values.  Null ids are kept.
 Repeated rows stay.  An empty table gives no rows.  Other columns pass through
@@ -33,7 +41,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Kind -> pattern, in order of preference at one position.  Group 1 is a named secret.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}"
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,126}[A-Za-z]{2,24}"
              r"(?![A-Za-z0-9-])",
     "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Kk]ey|KEY|[Pp]assword|PASSWORD)"
               r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?)([A-Za-z0-9_+/-][A-Za-z0-9_+/=.-]{14,}[A-Za-z0-9_+/=-])",
@@ -64,21 +72,23 @@ def _is(kind: str, value: str = "v") -> str:
 
 
 def _bits(key: str, kind: str, round_: str, other: str, size: int) -> str:
-    return f"sha2(concat_ws('|', {_text(key)}, '{kind}', {round_}, {other}), {size})"
+    """Hex digits; ``kind`` is a SQL expression."""
+    return f"sha2(concat_ws('|', {_text(key)}, {kind}, {round_}, {other}), {size})"
 
 
-def _numbers(key: str, kind: str, a: int, b: int, left: str, right: str) -> str:
+def _numbers(key: str, kind: str, a: int | str, b: int | str, left: str, right: str, kind_of: str | None = None) -> str:
     """Feistel permutation of Z_a x Z_b; gives struct(l, r)."""
-    turn = lambda other: f"cast(conv(substr({_bits(key, kind, 'i', other, 256)}, 1, 15), 16, 10) as bigint)"
+    bits = lambda other: _bits(key, kind_of or f"'{kind}'", "n", other, 256)
+    turn = lambda other: f"cast(conv(substr({bits(other)}, 1, 15), 16, 10) as bigint)"
     return (f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', cast({left} as bigint), 'r', cast({right} as bigint)), "
-            f"(s, i) -> if(i % 2 = 0, named_struct('l', (s.l + {turn('s.r')} % {a}) % {a}, 'r', s.r), "
-            f"named_struct('l', s.l, 'r', (s.r + {turn('s.l')} % {b}) % {b})))")
+            f"(h, n) -> if(n % 2 = 0, named_struct('l', (h.l + {turn('h.r')} % {a}) % {a}, 'r', h.r), "
+            f"named_struct('l', h.l, 'r', (h.r + {turn('h.l')} % {b}) % {b})))")
 
 
 def _string(key: str, kind: str, value: str) -> str:
     """Feistel permutation of a string: characters move within digits, lower or upper case letters."""
     def turned(half: str, other: str) -> str:
-        pad = _bits(key, kind, "i, length(s.l), length(s.r)", other, 512)
+        pad = _bits(key, f"'{kind}'", "i, length(s.l), length(s.r)", other, 512)
         step = "cast(conv(substr(pad, 2 * (k % 64) + 1, 2), 16, 10) as int)"
         moved = " ".join(f"when c between '{lo}' and '{hi}' then chr({ord(lo)} + (ascii(c) - {ord(lo)} + {step}) % {n})"
                          for lo, hi, n in (("0", "9", 10), ("a", "z", 26), ("A", "Z", 26)))
@@ -112,27 +122,40 @@ def _mod97(chars: str) -> str:
             f"(t * 100 + ascii(c) - 55) % 97))")
 
 
-_DATES = {  # form -> pattern of Spark's date functions, tried in this order
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd", r"^\d{4}\.\d{2}\.\d{2}$": "yyyy.MM.dd",
-    r"^\d{2}\.\d{2}\.\d{4}$": "dd.MM.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$": "d.M.yyyy",
-    r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$": "d/M/yyyy",
-    r"^\d{2}-\d{2}-\d{4}$": "dd-MM-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$": "d-M-yyyy",
-    r"^\d{2}/\d{2}/\d{4}$ ": "MM/dd/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$ ": "M/d/yyyy",
-    r"^\d{2}-\d{2}-\d{4}$ ": "MM-dd-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$ ": "M-d-yyyy",
-}
+WALK = 24  # steps after which a date's walk ends; a step fails for at most one place in thirty
 
 
 def _date(key: str) -> str:
-    """(new text, null if no calendar date from 1800 to 2199) by the first format that fits."""
-    tries = []
-    for form, pattern in _DATES.items():
-        day = (f"datediff(cast(try_to_timestamp(if(v rlike {_text(form.strip())}, v, null), '{pattern}') as date), "
-               "date'1800-01-01')")
-        new = _numbers(key, "date", 189, 773, "n div 773", "n % 773")
-        tries.append(f"transform(filter(array({day}), n -> n between 0 and 146096), "
-                     f"n -> transform(array({new}), z -> date_format(date_add(date'1800-01-01', "
-                     f"cast(z.l * 773 + z.r as int)), '{pattern}'))[0])")
-    return f"get(concat({', '.join(f'coalesce({t}, array())' for t in tries)}), 0)"
+    """(new text, null if no calendar date from 1800 to 2199) in the form of ``v``: order, separator, lengths.
+
+    The form's dates are permuted among themselves: years by places of month
+    and day, walking on from places that no calendar has (30 February).  A
+    date is read day first if its second number can be a month, so the days of
+    a month-first date stay above 12 and its pseudonym reads month first too.
+    """
+    bind = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    number = lambda part: f"cast({part} as bigint)"
+    named = lambda order, y, m, d: f"named_struct('o', '{order}', 'y', {number(y)}, 'm', {number(m)}, 'd', {number(d)}, 'ml', length({m}), 'dl', length({d}))"
+    read = (f"case when length(p[0]) = 4 then {named('ymd', 'p[0]', 'p[1]', 'p[2]')} "
+            f"when cast(p[1] as int) <= 12 then {named('dmy', 'p[2]', 'p[1]', 'p[0]')} "
+            f"when v not like '%.%' then {named('mdy', 'p[2]', 'p[0]', 'p[1]')} end")
+    leap = lambda y: f"({y} % 4 = 0 and ({y} % 100 <> 0 or {y} % 400 = 0))"
+    real = lambda y, m, d: (f"({y} between 1800 and 2199 and {m} between 1 and 12 and {d} between 1 and "
+                            f"case when {m} in (4, 6, 9, 11) then 30 when {m} <> 2 then 31 when {leap(y)} then 29 else 28 end)")
+    # months and days of the form: one digit, two digits, or month-first days
+    form = ("named_struct('months', if(q.ml = 1, 9, 12), 'days', case when q.o = 'mdy' then 19 when q.dl = 1 then 9 else 31 end, "
+            "'first', if(q.o = 'mdy', 13, 1))")
+    turned = _numbers(key, "date", "400", "(w.months * w.days)", "s.y - 1800", "(s.m - 1) * w.days + s.d - w.first",
+                      "concat('date', w.months, '-', w.days)")
+    step = bind(turned, "z", "named_struct('y', z.l + 1800, 'm', z.r div w.days + 1, 'd', z.r % w.days + w.first)")
+    walked = (f"aggregate(sequence(1, {WALK}), named_struct('y', q.y, 'm', q.m, 'd', q.d, 'ok', false), (s, i) -> if(s.ok, s, "
+              + bind(step, "x", f"named_struct('y', x.y, 'm', x.m, 'd', x.d, 'ok', {real('x.y', 'x.m', 'x.d')})") + "))")
+    two = lambda x, n: f"lpad({x}, {n}, '0')"
+    printed = (f"case q.o when 'ymd' then concat_ws(c, x.y, {two('x.m', 2)}, {two('x.d', 2)}) "
+               f"when 'dmy' then concat_ws(c, {two('x.d', 'q.dl')}, {two('x.m', 'q.ml')}, x.y) "
+               f"else concat_ws(c, {two('x.m', 'q.ml')}, {two('x.d', 'q.dl')}, x.y) end")
+    whole = bind(form, "w", bind(walked, "x", bind("regexp_extract(v, '[-/.]', 0)", "c", printed)))
+    return bind("split(v, '[-/.]')", "p", bind(read, "q", f"if(q is null or not {real('q.y', 'q.m', 'q.d')}, null, {whole})"))
 
 
 def replacement(key: str) -> str:

@@ -103,7 +103,8 @@ def test_column_generation_is_near_optimal():
 
 def test_knapsack_price_equals_brute_force():
     values = np.array([0.11, 0.19, 0.35, 0.0, 0.52])
-    worth, counts = pk.price(values, 9)
+    best, took = pk.price(values, 9)
+    worth, counts = best[9], pk.pattern(took, 9, len(values))
     best_worth = max(a * .11 + b * .19 + c * .35 + e * .52 for a in range(10) for b in range(5) for c in range(4)
                      for e in range(2) if a + 2 * b + 3 * c + 5 * e <= 9)
     assert worth == pytest.approx(best_worth) and counts @ values == pytest.approx(worth)

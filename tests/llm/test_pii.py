@@ -1,6 +1,9 @@
 import datetime
+import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from roadpulse.llm import pii
 
 ROWS = [
@@ -106,3 +109,176 @@ def test_short_groups_trunk_prefixes_and_whole_secrets(spark):
     last = [re.sub(r"\D", "", got[k].text) for k in (4, 5, 6)]
     assert len(set(last)) == 1 and last[0][0] == "1" and got[0].text.startswith("x +33 ")
     assert got[200].text[7:-1] == got[101].text.split('"')[1]
+
+
+# --- a second implementation: the same networks over the same kinds, in plain Python -------------------------
+
+def py_bits(key, kind, rest, size):
+    return hashlib.new(f"sha{size}", "|".join([key, kind, *map(str, rest)]).encode()).hexdigest()
+
+
+def py_numbers(key, kind, a, b, left, right):
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + int(py_bits(key, kind, [i, right], 256)[:15], 16) % a) % a
+        else:
+            right = (right + int(py_bits(key, kind, [i, left], 256)[:15], 16) % b) % b
+    return left, right
+
+
+def py_string(key, kind, value):
+    left, right = value[:len(value) // 2], value[len(value) // 2:]
+
+    def turned(half, other, i, lengths):
+        pad, out = py_bits(key, kind, [i, *lengths, other], 512), ""
+        for k, c in enumerate(half):
+            step = int(pad[2 * (k % 64):2 * (k % 64) + 2], 16)
+            for lo, n in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(lo) <= ord(c) < ord(lo) + n:
+                    c = chr(ord(lo) + (ord(c) - ord(lo) + step) % n)
+                    break
+            out += c
+        return out
+    for i in range(pii.ROUNDS):
+        lengths = (len(left), len(right))
+        if i % 2 == 0:
+            left = turned(left, right, i, lengths)
+        else:
+            right = turned(right, left, i, lengths)
+    return left + right
+
+
+def py_filled(form, new):
+    new = iter(new)
+    return "".join(next(new) if re.match("[0-9A-Za-z]", c) else c for c in form)
+
+
+def py_check_digit(body):
+    return next(c for c in "0123456789" if luhn(body + c))
+
+
+def py_date(key, v):
+    sep = re.search("[-/.]", v)[0]
+    p = v.split(sep)
+    if len(p[0]) == 4:
+        order, (y, m, d) = "ymd", p
+    elif int(p[1]) <= 12:
+        order, (d, m, y) = "dmy", p
+    elif sep != ".":
+        order, (m, d, y) = "mdy", p
+    else:
+        return None
+
+    def real(y, m, d):
+        try:
+            datetime.date(y, m, d)
+        except ValueError:
+            return False
+        return 1800 <= y <= 2199
+    if not real(int(y), int(m), int(d)):
+        return None
+    months, days, first = 9 if len(m) == 1 else 12, 19 if order == "mdy" else 9 if len(d) == 1 else 31, 13 if order == "mdy" else 1
+    at = (int(y), int(m), int(d))
+    while True:
+        a, b = py_numbers(key, f"date{months}-{days}", 400, months * days, at[0] - 1800, (at[1] - 1) * days + at[2] - first)
+        at = (a + 1800, b // days + 1, b % days + first)
+        if real(*at):
+            break
+    m, d = str(at[1]).zfill(len(m)), str(at[2]).zfill(len(d))
+    return sep.join({"ymd": [str(at[0]), m, d], "dmy": [d, m, str(at[0])], "mdy": [m, d, str(at[0])]}[order])
+
+
+def py_value(key, v, named):
+    """(kind or None, new value) of one found value."""
+    whole = lambda kind: re.fullmatch(alone(kind), v, re.A)
+    digits, plain = re.sub("[^0-9]", "", v), re.sub("[^0-9A-Z]", "", v)
+    mod97 = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
+    if whole("email"):
+        local, domain = v.split("@", 1)
+        return "email", py_string(key, "email", local) + "@" + domain
+    if whole("ip"):
+        a, b, c, d = map(int, v.split("."))
+        left, right = py_numbers(key, "ip", 65536, 65536, a * 256 + b, c * 256 + d)
+        return "ip", ".".join(map(str, (*divmod(left, 256), *divmod(right, 256))))
+    if whole("date"):
+        new = py_date(key, v)
+        return ("date", new) if new else (None, v)
+    if whole("ssn"):
+        area, group, serial = map(int, v.split("-"))
+        left, right = py_numbers(key, "ssn", 898 * 99, 9999, (area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1)
+        area, group = left // 99 + (2 if left // 99 >= 665 else 1), left % 99 + 1
+        return "ssn", f"{area:03d}-{group:02d}-{right + 1:04d}"
+    if whole("card") and luhn(digits):
+        body = py_string(key, "card", digits[:-1])
+        return "card", py_filled(v, body + py_check_digit(body))
+    if whole("phone") and 8 <= len(digits) <= 15:
+        prefix = re.match(r"[+][0-9]{1,3}", v)
+        kept = (v[:2] if re.fullmatch("[+][0-9]+", v) else prefix[0]) if prefix else (re.match("1[ .-]", v) or [""])[0]
+        rest = v[len(kept):]
+        return "phone", kept + py_filled(rest, py_string(key, "phone", re.sub("[^0-9]", "", rest)))
+    if whole("iban") and 15 <= len(plain) <= 34 and mod97(plain[4:] + plain[:4]) == 1:
+        body = py_string(key, "iban", plain[4:])
+        return "iban", py_filled(v, f"{plain[:2]}{98 - mod97(body + plain[:2] + '00'):02d}{body}")
+    if named:
+        return "secret", py_string(key, "secret", v)
+    return None, v
+
+
+def alone(kind):
+    """A kind's pattern with its own group numbers."""
+    numbers = {"date": [r"\2", r"\3"], "card": [r"\4", r"\5"]}.get(kind, [])
+    pattern = pii.KINDS[kind]
+    for i, old in enumerate(numbers):
+        pattern = pattern.replace(old, rf"(?:\{i + 1})")
+    return pattern
+
+
+def py_text(key, text):
+    """Kinds and new text; the engine's lookbehind of several lengths becomes a look at what precedes a match."""
+    import regex
+    kinds, out, at = [], [], 0
+    for m in regex.finditer("|".join(pii.KINDS.values()), text or "", regex.A):
+        kind, new = py_value(key, m[0], m[1] is not None)
+        kinds += [kind] if kind else []
+        out += [text[at:m.start()], new]
+        at = m.end()
+    return kinds, None if text is None else "".join(out) + text[at:]
+
+
+def test_second_implementation_agrees_on_all_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10_000 + k, t) for k, (_, t) in enumerate(ROWS)] + [
+        (20_000 + k, t) for k, t in enumerate(["1.2.2000 01.2.2000 1.02.2000 12/25/1999 1/25/1999 25/1/1999 31.4.2000 29.02.1900 13/13/2000",
+                                               "a.b@c.example.org +442071234567 +49 30 123456 token: " + "Ab3" * 50])], "doc_id long, text string")
+    docs = docs.unionByName(more)
+    want = {r.doc_id: py_text("key", r.text) for r in docs.collect()}
+    found = 0
+    for r in pii.pseudonymize(docs, "key").collect():
+        kinds, text = want[r.doc_id]
+        assert (r._pii or []) == kinds and r.text == text, r.doc_id
+        found += len(kinds)
+    assert found > 50
+
+
+def test_different_dates_never_share_a_pseudonym(spark):
+    """All days of the 400 years in all forms: one pseudonym for each date written, in the same form."""
+    form = {"iso": "yyyy-MM-dd", "dmy": "dd-MM-yyyy", "dmy1": "d-M-yyyy", "mdy": "MM-dd-yyyy", "mdy1": "M-d-yyyy"}
+    days = spark.range(146_097).selectExpr("date_add(date'1800-01-01', cast(id as int)) as day")
+    parts = [days.selectExpr(f"'{k}' as form", f"date_format(day, '{p}') as was", "day").where("day(day) > 12" if k[0] == "m" else "true")
+             for k, p in form.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    every = every.repartition(8).selectExpr("form", "day", "was", "was as text")
+    got = pii.pseudonymize(every, "key").selectExpr("day", "was", "text", "size(_pii) as n", "regexp_replace(was, '[0-9]', '9') as shape")
+    got = got.groupBy("text").agg(F.count_distinct("was").alias("was"), F.count_distinct("day").alias("days"), F.min("n").alias("n"),
+                                  F.bool_and(F.col("shape") == F.regexp_replace("text", "[0-9]", "9")).alias("same"))
+    row = got.agg(F.max("was").alias("was"), F.max("days").alias("days"), F.min("n").alias("n"), F.bool_and("same").alias("same")).first()
+    assert tuple(row) == (1, 1, 1, True)
+
+
+def test_long_texts_that_look_like_mail(spark):
+    texts = ["x@" + "a." * 500_000, "x@" + "a" * 1_000_000, "a." * 500_000 + "@b.example.org", "1." * 300_000, "+1 " * 300_000,
+             "token=" + "a" * 1_000_000]
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "key").collect()
+    assert [len(r.text) for r in rows] == [len(t) for t in texts]
