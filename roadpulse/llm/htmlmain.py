@@ -9,7 +9,8 @@ holds main text.  Hierarchical decoding then takes the most probable labelling
 of the tree in which a dropped node has no kept descendant, so ancestor and
 descendant choices cannot contradict each other.
 
-The trees are fitted with Spark ML on nodes of at most ``sample`` pages chosen by hash:
+The trees are fitted with Spark ML on nodes of at most ``sample`` distinct pages chosen by hash
+(at most ``most_nodes`` nodes of a page or layout; pages over ``longest`` characters only if others are too few):
 pages with an ``article`` or ``main`` element label themselves, and the texts
 of every sampled page are also laid out anew in random page layouts whose
 labels are known.
@@ -27,6 +28,7 @@ other than the id, URL and page are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import random
 import re
@@ -91,22 +93,34 @@ class Node:
 
 
 def parse(page: str | None) -> Node:
-    """Tree of block elements with text leaves; the root stands for the document."""
+    """Tree of block elements with text leaves; the root stands for the document.
+
+    Open elements are kept by name, so that no tag walks up the tree in vain,
+    and after the page's last ``>`` nothing is read as a tag: the time is linear in the page.
+    """
     page = page or ""
-    here = root = Node("html", None)
+    root = Node("html", None)
+    open_, named, scopes = [root], {}, [0]  # open elements, their places by tag, places of those that end a search
     inline: list[str] = []
-    links, linked, at = 0, 0, 0
+    links, linked, at, last = 0, 0, 0, page.rfind(">")
 
     def flush():
         nonlocal linked
         if inline:
             text = " ".join(html.unescape("".join(inline)).split())
             if text:
-                Node("#text", here, text=text, linked=min(linked, len(text)))
+                Node("#text", open_[-1], text=text, linked=min(linked, len(text)))
             inline.clear()
         linked = 0
 
-    while match := _TOKEN.match(page, at):
+    def close_to(place: int):
+        while len(open_) > place:
+            tag = open_.pop().tag
+            named[tag].pop()
+            if tag in SCOPES:
+                scopes.pop()
+
+    while at <= last and (match := _TOKEN.match(page, at)):
         at = match.end()
         text, name = match[7], match[2] or match[5]
         if text is not None:
@@ -137,29 +151,32 @@ def parse(page: str | None) -> Node:
         flush()
         links = 0
         if closing:
-            node = here
-            while node is not root and node.tag != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if named.get(name):
+                close_to(named[name][-1])
             continue
         if name in ("html", "body") and name != "body":
             continue
-        if name in ENDS_P and here.tag == "p":
-            here = here.parent
+        if name in ENDS_P and open_[-1].tag == "p":
+            close_to(len(open_) - 1)
         if name in CLOSED_BY:
-            node = here
-            while node is not root and node.tag not in CLOSED_BY[name] and node.tag not in SCOPES:
-                node = node.parent
-            if node is not root and node.tag in CLOSED_BY[name]:
-                here = node.parent
+            place = max((named[t][-1] for t in CLOSED_BY[name] if named.get(t)), default=0)
+            if place and place >= scopes[-1]:
+                close_to(place)
         groups = ()
         if attrs:
             groups = {g for _, value in _ATTRS.findall(attrs) for w in _WORDS.findall(value)
                       for g in GROUP.get(w.lower(), ())}
         if name in IMPLIED:
             groups = {*groups, IMPLIED[name]}
-        here = Node(name, here, tuple(groups), bool(attrs and _HIDDEN.search(attrs)))
+        named.setdefault(name, []).append(len(open_))
+        if name in SCOPES:
+            scopes.append(len(open_))
+        open_.append(Node(name, open_[-1], tuple(groups), bool(attrs and _HIDDEN.search(attrs))))
+    if at < len(page):  # no tag can end here any more, only comments begin
+        rest = page[at:]
+        text = rest[:min((k for k in (rest.find("<!"), rest.find("<?")) if k >= 0), default=len(rest))]
+        inline.append(text)
+        linked += len(text) if links else 0
     flush()
     return root
 
@@ -185,7 +202,7 @@ def features(pages: list[list[Node]]) -> np.ndarray:
     chars, words, links, stops, tags, leaves = ([0] * n for _ in range(6))
     start, rank, same, before, after = ([0] * n for _ in range(5))
     family, mean, against, for_ = [1] * n, [0.0] * n, [0] * n, [0] * n
-    above: list[tuple] = [()] * n
+    above, above_for, above_against = [0] * n, [0] * n, [0] * n  # groups of all ancestors: as bits, and counted
     mark_rows, mark_cols, seen, first = [], [], 0, 0
     for k, node in enumerate(order):
         up = node.parent
@@ -194,13 +211,13 @@ def features(pages: list[list[Node]]) -> np.ndarray:
             parent[k] = k
         else:
             parent[k] = at = place[id(up)]
-            above[k] = above[at] + up.groups if up.groups else above[at]
+            above[k], above_for[k], above_against[k] = above[at], for_[at], against[at]
+            for g in up.groups:
+                above[k] |= 1 << g
         root[k], start[k] = first, seen
-        marks = [TAGS.get(node.tag, TAGS["div"]), *(n_tags + g for g in node.groups),
-                 *(n_tags + n_groups + g for g in above[k])]
-        near = node.groups + above[k]
-        for_[k] = near.count(8)
-        against[k] = len(near) - for_[k]
+        marks = [TAGS.get(node.tag, TAGS["div"]), *(n_tags + g for g in node.groups)]
+        own = node.groups.count(8)
+        for_[k], against[k] = above_for[k] + own, above_against[k] + len(node.groups) - own
         mark_rows += [k] * len(marks)
         mark_cols += marks
         if node.tag == "#text":
@@ -233,6 +250,7 @@ def features(pages: list[list[Node]]) -> np.ndarray:
                     after[at[i - 1]] = chars[k]
     out = np.zeros((n, N_FEATURES), np.float32)
     out[mark_rows, mark_cols] = 1
+    out[:, n_tags + n_groups:n_tags + 2 * n_groups] = np.array(above, np.int64)[:, None] >> np.arange(n_groups) & 1
     number = lambda values: np.array(values, float)
     parent, chars, words, links, family = map(np.array, (parent, chars, words, links, family))
     whole, tags, size = np.maximum(1, chars[np.array(root, int)]), number(tags), np.maximum(1, chars)
@@ -430,8 +448,8 @@ def laid_out(texts: list[str], rng: random.Random) -> tuple[list[Node], np.ndarr
     return order, _containers(order, label)
 
 
-def training_nodes(pages: DataFrame, html_col: str, layouts: int) -> DataFrame:
-    """(x, label) of the nodes of labelled pages and of ``layouts`` new layouts of each page's texts."""
+def training_nodes(pages: DataFrame, html_col: str, layouts: int, most_nodes: int) -> DataFrame:
+    """(x, label) of the nodes of labelled pages and of ``layouts`` new layouts of each page's texts, at most ``most_nodes`` of each."""
     def run(frames):
         for frame in frames:
             for page in frame["page"]:
@@ -439,22 +457,33 @@ def training_nodes(pages: DataFrame, html_col: str, layouts: int) -> DataFrame:
                 texts = [node.text for node in nodes(root) if node.text]
                 if not texts:
                     continue
-                rng = random.Random(len(page) * 31 + len(texts))
+                rng = random.Random(hashlib.sha256(page.encode()).hexdigest())
                 made = [labelled(root), *(laid_out(texts, rng) for _ in range(layouts))]
                 for order, label in filter(None, made):
-                    yield pd.DataFrame({"x": list(features([order]).astype(float)), "label": label.astype(float)})
+                    x = features([order])
+                    if len(x) > most_nodes:
+                        some = sorted(rng.sample(range(len(x)), most_nodes))
+                        x, label = x[some], label[some]
+                    yield pd.DataFrame({"x": list(x.astype(float)), "label": label.astype(float)})
     return (pages.select(F.col(html_col).alias("page")).where("page is not null")
             .mapInPandas(run, "x array<double>, label double"))
 
 
+def sampled(pages: DataFrame, html_col: str, sample: int, longest: int) -> DataFrame:
+    """At most ``sample`` distinct pages by hash; pages of more than ``longest`` characters only where others are too few."""
+    h = F.xxhash64(html_col)
+    some = pages.where(F.length(html_col) > 0)
+    hashes = (some.groupBy(h.alias("h")).agg(F.max(F.length(html_col) > longest).alias("long"))
+              .orderBy("long", "h").limit(sample).collect())
+    return some.where(h.isin([r["h"] for r in hashes])).groupBy(h.alias("h")).agg(F.min(html_col).alias(html_col)).drop("h")
+
+
 def fit(pages: DataFrame, html_col: str = "html", sample: int = 300, layouts: int = 3, trees: int = 20,
-        depth: int = 5) -> Boosted | None:
-    """Boosted trees from at most ``sample`` pages; None without any text to learn from."""
-    # very long pages teach nothing more than others; the bound keeps the sample's size known
-    chosen = (pages.where(F.length(html_col).between(1, 100_000)).select(html_col)
-              .orderBy(F.xxhash64(html_col), html_col).limit(sample).repartition(12))
+        depth: int = 5, longest: int = 100_000, most_nodes: int = 20_000) -> Boosted | None:
+    """Boosted trees from at most ``sample`` distinct pages; None without any text to learn from."""
     from .common import stored
-    rows = stored(training_nodes(chosen, html_col, layouts), "nodes").withColumn("features", array_to_vector("x"))
+    chosen = stored(sampled(pages, html_col, sample, longest), "sample").repartition(12)
+    rows = stored(training_nodes(chosen, html_col, layouts, most_nodes), "nodes").withColumn("features", array_to_vector("x"))
     if rows.select("label").distinct().count() < 2:
         return None
     return Boosted(GBTClassifier(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7).fit(

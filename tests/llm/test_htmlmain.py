@@ -109,3 +109,42 @@ def test_parser_details():
     assert texts("a<b>b</b>c<div>d</div>e") == ["abc", "d", "e"]
     assert texts("<textarea>no</textarea><svg><text>no</text></svg>yes<br>too") == ["yes too"]
     assert texts("<p title='>'>ok") == ["ok"]
+
+
+def long_page(k):
+    words = " ".join(f"word{k}x{i}" for i in range(60))
+    body = "".join(f"<p>{words} {i}.</p>" for i in range(230))
+    return f"<html><body><nav><ul><li><a href=x>One</a></ul></nav><article><h1>Title {k}</h1>{body}</article><footer>(c) {k}</footer></body></html>"
+
+
+def test_a_table_of_only_long_pages_gives_their_articles(spark):
+    pages = [long_page(k) for k in range(3)]
+    assert min(map(len, pages)) > 100_000
+    frame = spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    for r in hm.extract(frame, hm.fit(frame, sample=3, layouts=1)).collect():
+        assert r.text == article(pages[r.page_id])
+
+
+def test_sample_holds_distinct_pages_and_short_ones_first(spark):
+    rows = ["<p>copy</p>"] * 500 + [f"<p>own {k}</p>" for k in range(9)] + ["<p>" + "x" * 2000, "", None]
+    frame = spark.createDataFrame([(r,) for r in rows], "html string")
+    assert {len(r.html) for r in hm.sampled(frame, "html", 10, 1000).collect()} == {11, 12}
+    got = [r.html for r in hm.sampled(frame, "html", 300, 1000).collect()]
+    assert len(got) == len(set(got)) == 11
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a "x ' * 170_000, "<a 'x <b " * 120_000 + ">", "<" * 1_000_000,
+                                  "<div class=\"nav menu\">" * 50_000 + "deep", "<h2>" * 40_000 + "<tr></tr>" * 40_000,
+                                  "<div>" * 40_000 + "</p>" * 40_000, "<li><div>" + "<h2>" * 40_000 + "<li></li>" * 40_000,
+                                  "<!--" * 250_000, "&amp" * 250_000])
+def test_hostile_pages_take_linear_time_and_memory(page, model):
+    import time
+    import tracemalloc
+    began = time.process_time()
+    order = hm.nodes(hm.parse(page))
+    tracemalloc.start()
+    x = hm.features([order])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    hm.main_text(order, hm.decode(order, model.margin(x)))
+    assert time.process_time() - began < 30 and peak < 500e6
