@@ -66,13 +66,35 @@ def test_odd_rows(spark):
 
 def test_footrule_order_equals_definition():
     rng = np.random.default_rng(0)
-    vectors, pivots = rng.normal(size=(200, 8)), rng.normal(size=(30, 8))
-    shard = pm.Shard(vectors, pivots, 10)
-    query = pm.prefixes(rng.normal(size=(1, 8)), pivots, 10)[0]
+    vectors = rng.normal(size=(200, 8))
+    band = pm.Band(vectors, np.sqrt((vectors ** 2).sum(1)), 30, 10, 40, 0.0)
+    level = np.c_[vectors, np.sqrt(band.longest ** 2 - (vectors ** 2).sum(1).clip(max=band.longest ** 2))]
+    query = rng.normal(size=8)
 
     def places(prefix):
         return {p: k for k, p in enumerate(prefix.tolist())}
-    q = places(query)
-    rule = [sum(abs(q.get(p, 10) - x.get(p, 10)) for p in range(30)) for x in map(places, pm.prefixes(vectors, pivots, 10))]
-    got = shard.candidates(query, 40)
-    assert sorted(rule)[:40] == sorted(rule[i] for i in got)
+    q = places(pm.prefixes(query[None], band.pivots[:, :-1], 10)[0])
+    rule = [sum(abs(q.get(p, 10) - x.get(p, 10)) for p in range(30)) for x in map(places, pm.prefixes(level, band.pivots, 10))]
+    got = band.candidates(query)
+    assert len(got) == 40 and sorted(rule)[:40] == sorted(rule[i] for i in got)
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_recall_when_lengths_differ(sigma):
+    """A whole shard of 16,384 vectors under the registered settings; lengths are log-normal."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(16384, 64))
+    vectors *= (np.exp(sigma * rng.normal(size=len(vectors))) / np.sqrt((vectors ** 2).sum(1)))[:, None]
+    shard = pm.Shard(vectors, 256, 64, 1.1, 512, 0.15)
+    queries = vectors[::130]
+    hits = 0
+    for q, (at, score) in zip(queries, shard.nearest(queries, 21)):
+        want = np.argsort(-(vectors @ q), kind="stable")[:21]
+        hits += len(set(want.tolist()) & set(at[np.argsort(-score, kind="stable")[:21]].tolist()))
+    assert hits >= 0.93 * 21 * len(queries)
+
+
+def test_an_id_with_two_vectors_has_a_list_for_each(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [3.0, 0.5])]
+    got = pm.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 1.0)]
