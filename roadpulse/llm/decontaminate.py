@@ -139,21 +139,43 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct windows of a block of benchmark items, and the items of each."""
+    """Distinct windows of a block of benchmark items, and the items of each.
+
+    Only the items' word numbers travel; each worker makes the windows from them when it first needs them.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in text]
-            for k in range(max(1, len(ids) - width + 1)):
-                found.setdefault(tuple(ids[k:k + width]), set()).add(item)
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.symbols = np.zeros((len(found), width), np.int32)
-        for k, p in enumerate(found):
-            self.symbols[k, :len(p)] = p
-        self.items = [sorted(x) for x in found.values()]
-        self.shortest = int(self.lengths.min())
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 2)
+        self.width, self.names = width, [name for name, _ in items]
+        self.sizes = np.array([len(text) for _, text in items], np.int64)
+        self.ids = np.fromiter((number(w) for _, text in items for w in text), np.int32, int(self.sizes.sum()))
+        self.shortest, self.windows = int(min(width, self.sizes.min())), int(np.maximum(1, self.sizes - width + 1).sum())
+        self.symbols = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"symbols": None, "lengths": None, "item_at": None, "item_of": None}
+
+    def build(self) -> "Phrases":
+        """``symbols`` (left-aligned windows), ``lengths``, and the items of window p: item_of[item_at[p]:item_at[p + 1]]."""
+        if self.symbols is not None:
+            return self
+        each = np.maximum(1, self.sizes - self.width + 1)
+        item = np.repeat(np.arange(len(each)), each)
+        start = np.repeat(np.cumsum(self.sizes) - self.sizes - (np.cumsum(each) - each), each) + np.arange(len(item))
+        length = np.minimum(self.sizes, self.width)[item]
+        place = np.arange(self.width)
+        padded = np.r_[self.ids, np.zeros(self.width, np.int32)]
+        rows = np.where(place < length[:, None], padded[start[:, None] + place], 0).astype(np.int32)
+        self.symbols, of = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.symbols > 0).sum(axis=1)
+        pairs = np.unique(of.reshape(-1).astype(np.int64) * len(each) + item)
+        self.item_of = (pairs % len(each)).astype(np.int32)
+        self.item_at = np.searchsorted(pairs // len(each), np.arange(len(self.symbols) + 1))
+        return self
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.item_of[self.item_at[window]:self.item_at[window + 1]]]
 
 
 def _segments(ids: np.ndarray, shortest: int) -> list[tuple[int, int]]:
@@ -175,6 +197,7 @@ def search_shard(texts: list[np.ndarray], phrases: Phrases) -> dict[int, tuple[l
             origin.append(np.arange(a, b + 1))
     if not parts:
         return {}
+    phrases.build()
     index = FMIndex(np.concatenate(parts))
     owner, origin = np.concatenate(owner), np.concatenate(origin)
     low, high = index.search(phrases.symbols, phrases.lengths)
@@ -190,7 +213,7 @@ def search_shard(texts: list[np.ndarray], phrases: Phrases) -> dict[int, tuple[l
             spans[-1][1] = max(spans[-1][1], stop)
         else:
             spans.append([start, stop])
-        items.update(phrases.items[p])
+        items.update(phrases.items(p))
     return found
 
 
@@ -213,7 +236,7 @@ def _blocks(benchmark: DataFrame, width: int, block_words: int, id_col: str, tex
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10,
                 id_col: str = "item_id", bench_text: str = "text", shard_words: int = 1 << 19,
-                block_words: int = 2_000_000) -> DataFrame:
+                block_words: int = 400_000) -> DataFrame:
     """``docs`` with _dc_words (long), _dc_spans (merged word spans) and _dc_items (sorted ids)."""
     added = "_dc_words long, _dc_spans array<array<int>>, _dc_items array<string>"
     out = docs.withColumns({"_dc_words": F.lit(None).cast("long"),
@@ -237,6 +260,8 @@ def _searcher(phrases, text_col: str, shard_words: int):
     def run(batches):
         import pyarrow as pa
         block = phrases.value
+        # every shard is asked for every window: larger blocks of windows get larger shards
+        most_words = max(shard_words, 2 * block.windows) if block else shard_words
         number = (block.vocabulary if block else {}).get
 
         def finish(waiting):
@@ -265,7 +290,7 @@ def _searcher(phrases, text_col: str, shard_words: int):
                     texts.append(np.fromiter((number(w, 0) for w in got), np.int32, len(got)))
                 held += sum(map(len, texts)) + part.get_total_buffer_size() // 64
                 waiting.append((part, texts))
-                if held >= shard_words:
+                if held >= most_words:
                     yield from finish(waiting)
                     waiting, held = [], 0
         if waiting:
