@@ -3,9 +3,9 @@
 ``captures_to_records`` makes the records of one capture: a request, a
 response (or a revisit, if an equal payload of at least ``revisit_bytes`` bytes
 is kept elsewhere) and a metadata record; request and metadata name the
-response in WARC-Concurrent-To.  ``write_warc`` writes them with Spark's text
-writer, whose line separator is the blank lines that end a record, as gzipped
-files of bounded size.  ``read_warc`` reads whole files and cuts records by
+response in WARC-Concurrent-To.  ``write_warc`` joins them by the blank lines
+that end a record to texts of bounded bytes and writes each as a gzipped
+file.  ``read_warc`` unpacks a file as a stream and cuts records by
 Content-Length.  ``assemble`` joins request, response and metadata records
 through their concurrent-to identifiers into one nested row per capture.
 
@@ -23,7 +23,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,10 +101,31 @@ def captures_to_records(pages: DataFrame, id_col: str = "page_id", url_col: str
                "application/warc-fields", concurrent))).alias("value"))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 12_000) -> None:
-    """Gzipped WARC files below ``path``, each with at most ``records_per_file`` records."""
-    (records.write.option("lineSep", END).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+def write_warc(records: DataFrame, path: str, file_bytes: int = 1 << 26) -> None:
+    """Gzipped WARC files below ``path``, each of at most ``file_bytes`` bytes before compression, or of one larger record.
+
+    A task joins its records to rows of that size, and every row becomes a file.
+    """
+    def run(batches):
+        import pyarrow as pa
+        held, size = [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.string())], ["value"])
+        for batch in batches:
+            for value in batch.column(0):
+                value, own = value.as_py(), value.as_buffer().size + len(END)
+                if held and size + own > file_bytes:
+                    yield row()
+                    held.clear()
+                    size = 0
+                held.append(value)
+                size += own
+        if held:
+            yield row()
+
+    (records.select("value").mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip")
+     .option("maxRecordsPerFile", 1).text(path))
 
 
 _FIELD = re.compile(rb"^([!-9;-~]+):[ \t]*(.*?)[ \t]*\r?$", re.M)
@@ -112,23 +135,29 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
     return {name.lower(): value for name, value in _FIELD.findall(head)}
 
 
-def parse_records(data: bytes):
-    """(headers, block) of each record of an archive file, cut by Content-Length."""
+def parse_records(data: bytes | BinaryIO):
+    """(headers, block) of each record of an archive, cut by Content-Length; one record is held at a time."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
     at = 0
     while True:
-        while data[at:at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        head = []
+        while line := stream.readline():
+            at += len(line)
+            if line != b"\r\n":
+                head.append(line)
+            elif head:
+                break
+        if not head:
             return
-        stop = data.index(b"\r\n\r\n", at)
-        head = data[at:stop]
-        if not head.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = _fields(head)
-        at = stop + 4 + int(fields[b"content-length"])
-        if at > len(data):
+        if not head[0].startswith(b"WARC/"):
+            raise ValueError(f"no WARC record before byte {at}")
+        fields = _fields(b"".join(head)[:-2])
+        size = int(fields[b"content-length"])
+        block = stream.read(size)
+        if len(block) < size:
             raise ValueError("the last record is cut short")
-        yield fields, data[stop + 4:at]
+        at += size
+        yield fields, block
 
 
 def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
@@ -140,8 +169,10 @@ def read_warc(spark, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 data = batch.column(0)[k].as_py()
-                data, rows, held = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, [], 0
-                for fields, block in parse_records(data):
+                stream, rows, held = io.BytesIO(data), [], 0
+                if data[:2] == b"\x1f\x8b":
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+                for fields, block in parse_records(stream):
                     text = lambda name: fields[name].decode() if name in fields else None
                     length, payload = None, block
                     if text(b"content-type") and text(b"content-type").startswith("application/http"):

@@ -47,7 +47,7 @@ def test_payloads_come_back_whole_and_captures_are_complete(spark, odd):
     path, rows = odd
     pages = spark.read.parquet(f"{path}/pages.parquet")
     out = scratch(spark, "warc-test")
-    wa.write_warc(wa.captures_to_records(pages), out, records_per_file=4)
+    wa.write_warc(wa.captures_to_records(pages), out, file_bytes=20_000)
     captures = wa.assemble(wa.read_warc(spark, out)).collect()
     assert sum(c.copies for c in captures) == len(rows)
     assert all(len(c.requests) == len(c.metadata) == 1 for c in captures)
@@ -71,3 +71,14 @@ def test_orphans_and_cut_records(spark):
         list(wa.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
     with pytest.raises(ValueError):
         list(wa.parse_records(b"HTTP/1.1 200\r\n\r\n"))
+
+
+def test_files_are_bounded_in_bytes(spark, tmp_path):
+    pages = spark.range(60).selectExpr("id as page_id", "'http://a.example/' as url",
+                                       "repeat(cast(id + 100 as string), if(id = 7, 300000, 6000)) as html").coalesce(2)
+    wa.write_warc(wa.captures_to_records(pages), f"{tmp_path}/w", file_bytes=200_000)
+    import glob
+    import gzip
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(f"{tmp_path}/w/*.gz")]
+    assert len(sizes) > 5 and sorted(sizes)[-2] <= 200_000 < max(sizes) < 910_000
+    assert wa.read_warc(spark, f"{tmp_path}/w").count() == 180
