@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import positions, stored, table
 
-PARSED = ("id long, own string, n_quotes long, max_level long, offers array<binary>, "
+PARSED = ("id long, own string, n_quotes long, max_level long, offers array<binary>, parts array<binary>, "
           "asks array<struct<rank: int, kind: string, less: int, hash: binary>>")
 
 
@@ -125,10 +125,13 @@ def _pieces(part: tuple[int, str]) -> list[list[tuple[int, str]]]:
     return [[part], *(paragraphs if len(paragraphs) > 1 else [])]
 
 
-def keys(text: str | None) -> tuple[list[bytes], list[tuple[int, str, int, bytes]]]:
-    """What a message offers to be quoted by, and what its quotes ask for: (rank, kind, less context is more, hash)."""
+def keys(text: str | None) -> tuple[list[bytes], list[bytes], list[tuple[int, str, int, bytes]]]:
+    """What a message offers to be quoted by, as a whole and in parts, and what its quotes ask for: (rank, kind, less, hash).
+
+    ``less`` is minus the levels of context, so that more context sorts first.
+    """
     parts = passages(text)
-    offers, asks = set(), set()
+    offers, pieces, asks = set(), set(), set()
 
     def whole(tag: str, block: list[tuple[int, str]], base: int) -> list[bytes]:
         got = _hash(block, base)
@@ -150,14 +153,14 @@ def keys(text: str | None) -> tuple[list[bytes], list[tuple[int, str, int, bytes
             elif depth:
                 asks.update((2, "part", -n, h) for n, h in enumerate(_chain("part", piece, parts, i)))
             else:
-                offers.update(_chain("part", piece, parts, i))
+                pieces.update(_chain("part", piece, parts, i))
     for block in blocks:
         asks.update((0, "block", 0, h) for h in whole("body", [parts[i] for i in block], 1))
         first = [i for i in block if parts[i][0] == 1]
         if first:
             asks.update((1, "passage", -n, h) for n, h in
                         enumerate(_chain("own", [parts[i] for i in first], parts, first[0])))
-    return sorted(offers), sorted(asks)
+    return sorted(offers), sorted(pieces), sorted(asks)
 
 
 def parse_messages(messages: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
@@ -167,23 +170,37 @@ def parse_messages(messages: DataFrame, id_col: str = "message_id", text_col: st
             for id_, text in zip(frame["id"], frame["text"]):
                 text = text if isinstance(text, str) else None
                 own, *_, n_quotes, max_level = parse(text)
-                offers, asks = keys(text)
-                rows.append((id_, own, n_quotes, max_level, offers,
+                offers, pieces, asks = keys(text)
+                rows.append((id_, own, n_quotes, max_level, offers, pieces,
                              [dict(zip(("rank", "kind", "less", "hash"), a)) for a in asks]))
-            yield pd.DataFrame(rows, columns=["id", "own", "n_quotes", "max_level", "offers", "asks"])
+            yield pd.DataFrame(rows, columns=["id", "own", "n_quotes", "max_level", "offers", "parts", "asks"])
     return (messages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .where("id is not null").groupBy("id").agg(F.min("text").alias("text")).mapInPandas(run, PARSED))
 
 
 def parents(parsed: DataFrame) -> DataFrame:
-    """(id, parent, linked_by) of messages whose quotes match an earlier original."""
-    asked = parsed.select("id", F.explode("asks").alias("a")).select("id", "a.*")
-    # one row per hash, so a text that many messages share joins to one original
-    offered = (parsed.select("id", F.explode("offers").alias("hash")).groupBy("hash")
-               .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    """(id, parent, linked_by) of messages whose quotes match an earlier original.
+
+    Parts and deeper levels are asked for only by messages that no whole body or own words gave a
+    parent, and of all parts only those that are asked for are counted.
+    """
     best = F.min(F.struct("rank", "less", "n", F.col("first").alias("parent"), F.col("kind").alias("linked_by")))
-    return (asked.join(offered, "hash").where("first < id").groupBy("id").agg(best.alias("m"))
-            .select("id", "m.parent", "m.linked_by"))
+    asked = lambda rows: rows.select("id", F.explode("asks").alias("a")).select("id", "a.*")
+
+    def matched(asks: DataFrame, offers: DataFrame) -> DataFrame:
+        # one row per hash, so a text that many messages share joins to one original
+        offered = offers.groupBy("hash").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+        return (asks.join(offered, "hash").where("first < id").groupBy("id").agg(best.alias("m"))
+                .select("id", "m.parent", "m.linked_by"))
+
+    whole = stored(matched(asked(parsed).where("rank < 2"), parsed.select("id", F.explode("offers").alias("hash"))), "links-whole")
+    quoting = parsed.where(F.exists("asks", lambda a: a["rank"] >= 2)).select("id", "asks")
+    rest = stored(asked(quoting.join(whole.select("id"), "id", "left_anti")).where("rank >= 2"), "asks-deeper")
+    if rest.isEmpty():
+        return whole
+    pieces = (parsed.select("id", F.explode("parts").alias("hash"))
+              .join(rest.select("hash").distinct(), "hash", "left_semi"))
+    return whole.unionByName(matched(rest, pieces))
 
 
 def roots(links: DataFrame) -> DataFrame:
