@@ -12,6 +12,14 @@ from textwrap import dedent
 
 D = "::DOUBLE"
 
+# The places of the fixture, and the corridors that messages ask for.
+_ZONES = """['Central Zone 1', 'Central Zone 2', 'East Zone 1', 'East Zone 2', 'North Zone 1', 'North Zone 2', 'South Zone 1',
+  'South Zone 2', 'West Zone 1', 'West Zone 2']"""
+_CORRIDORS = """['Mysore Road', 'Bellary Road 1', 'Bellary Road 2', 'Tumkur Road', 'Hosur Road', 'ORR North 1', 'ORR East 1',
+  'Old Madras Road', 'Ring Road']"""
+_ASKED = """['Mysore Road', 'Bellary Road 1', 'Bellary Road 2', 'Tumkur Road', 'Hosur Road', 'ORR North 1', 'ORR East 1',
+  'Old Madras Road', 'Magadi Road']"""
+
 RAW = f"""
 incidents_raw AS (
   SELECT event_id AS incident_id,
@@ -21,13 +29,13 @@ incidents_raw AS (
          WHEN event_id % 3 = 0 THEN ' ' || upper(event_type)
          ELSE event_type END AS event_cause,
     CASE WHEN event_id % 11 <> 0 THEN 'veh_' || CAST(event_id % 7 AS VARCHAR) END AS veh_type,
-    CASE WHEN event_id % 50 <> 7 THEN 'Zone ' || CAST(user_id % 10 AS VARCHAR) END AS zone,
+    CASE WHEN event_id % 50 <> 7 THEN {_ZONES}[user_id % 10 + 1] END AS zone,
     CASE WHEN user_id % 4 = 0 THEN 'Non-corridor'
-         WHEN event_id % 2 = 0 THEN 'Road ' || CAST(user_id % 9 AS VARCHAR)
-         ELSE 'ROAD ' || CAST(user_id % 9 AS VARCHAR) || ' ' END AS corridor,
+         WHEN event_id % 2 = 0 THEN {_CORRIDORS}[user_id % 9 + 1]
+         ELSE upper({_CORRIDORS}[user_id % 9 + 1]) || ' ' END AS corridor,
     'PS ' || CAST(user_id % 20 AS VARCHAR) AS police_station,
     CASE WHEN event_id % 3 <> 0 THEN 'J' || CAST(event_id % 40 AS VARCHAR) END AS junction,
-    CASE WHEN event_id % 200 <> 13 THEN CASE WHEN value > 20 THEN 'High' ELSE 'Low' END END AS priority,
+    CASE WHEN event_id % 200 <> 13 THEN CASE WHEN value > CASE user_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 35 ELSE 80 END THEN 'High' ELSE 'Low' END END AS priority,
     (event_type = 'error' OR event_id % 37 = 0) AS requires_road_closure,
     CASE WHEN event_id % 97 = 0 THEN 0.0{D}
          WHEN event_id % 10 = 9 THEN 12.75{D} + ((event_id * 7919) % 5500){D} / 10000.0{D}
@@ -386,6 +394,10 @@ MSGS_FIXTURE = f"""
 msgs AS (
   SELECT incident_id AS message_id, src_ts AS sent_at,
     CASE WHEN incident_id % 7 = 0 THEN {_SAMPLES}[((incident_id // 7) % {len(_kw.SAMPLE_MESSAGES)}) + 1]
+         WHEN incident_id % 14 = 1 THEN 'Compare ' || {_ASKED}[(incident_id // 14) % 9 + 1] || ' vs '
+              || {_ASKED}[(incident_id // 14 + 4) % 9 + 1]
+         WHEN incident_id % 14 = 2 THEN 'compare ' || {_ZONES}[(incident_id // 14) % 10 + 1] || ' versus '
+              || {_ZONES}[(incident_id // 14 + 3) % 10 + 1]
          ELSE {_WORDS}[(incident_id % {len(_kw.CAUSE_KEYWORDS)}) + 1] || ' at '
               || printf('%.4f', coalesce(latitude, 0.0{D})) || ', '
               || printf('%.4f', coalesce(longitude, 0.0{D})) || ' at '
@@ -858,7 +870,24 @@ SELECT message_id, intent, fallback, latitude, longitude, hour, event_cause, zon
 
 SQL.update({
     "log_roundtrip": SQL["prediction_log"],
-    "lookup_roundtrip": SQL["geo_stats"],
+    "lookup_roundtrip": rounded(with_base(" UNION ALL ".join(
+        [f"SELECT '{t}' AS lookup, {k} AS key, '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lk_{t}" for t, k, cs in (
+            ("cell", "geohash6", ["geo_event_count", "geo_high_priority_rate", "geo_closure_rate", "geo_avg_duration"]),
+            ("zone_hour", "concat_ws('|', hour, zone)", ["zone_hour_event_count"]), ("corridor", "corridor", ["corridor_risk_score"]),
+            ("cause", "event_cause", ["cause_closure_rate", "cause_avg_duration"]),
+            ("cause_zone", "event_cause || '|' || zone", ["cause_zone_closure"])) for c in cs]
+        + ["SELECT 'high_risk', event_cause, '', NULL::DOUBLE FROM lk_high_risk"]
+        + [f"SELECT 'median', '{c}', '', m_{c} FROM medians WHERE m_{c} IS NOT NULL" for c in MEDIAN_NAMES])), ["value"]),
+    "csv_incidents": rounded(with_base("""
+SELECT incident_id, event_type, event_cause, veh_type, zone, corridor, police_station, junction, priority, requires_road_closure,
+  latitude, longitude, start_datetime, closed_datetime, NULL::VARCHAR AS damaged FROM incidents_raw
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  'damaged ' || CAST(incident_id AS VARCHAR) FROM incidents_raw WHERE incident_id % 500 = 0"""), ["latitude", "longitude"]),
+    "damaged_log": "SELECT * EXCLUDE (prediction_id) REPLACE (CASE WHEN prediction_id % 5 = 0 THEN coalesce(corridor, '') "
+                   "|| ', near \u2019Caf\u00e9\u2019, 2' ELSE corridor END AS corridor) FROM (" + SQL["prediction_log"] + ")",
+    "outcome_upsert": SQL["outcome_backfill"],
+    "lookup_upkeep": "SELECT * EXCLUDE (events_applied) FROM (" + SQL["ema_cell_update"] + ")",
 })
 
 SQL["smote_balance"] = with_base("""

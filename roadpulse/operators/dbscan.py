@@ -15,10 +15,11 @@ No all-pairs step runs inside a dense group:
   centre).  For a micro-cell of side m the triangle inequality bounds every
   member's distance to a target within ``d(centre) +- radians(m)``, so a
   micro-cell is either certainly inside eps, certainly outside, or
-  uncertain; only uncertain micro-cells are expanded, to their *distinct
-  coordinates* (with multiplicity), so incidents stacked on one spot cost
-  one row; two micro-cells full of distinct coordinates at about eps from
-  each other remain a quadratic case;
+  uncertain; for a sparse point only uncertain micro-cells are expanded, to
+  their *distinct coordinates* (with multiplicity), so incidents stacked on one
+  spot cost one row; for two dense cells uncertain pairs of micro-cells are
+  split as quadtrees, with bounds between the boxes of their points, until the
+  first two points within eps are found or none is left;
 * points of sparse cells (< min_samples each) are compared point-to-point
   with the sparse points of the surrounding cells -- at most
   (cells in reach) x (min_samples - 1) candidates per point;
@@ -153,14 +154,8 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
     unsure = (mm.filter(F.col("_d") > eps - 2 * r_micro)
               .join(cell_pair_certain, ["ci", "cj", "qi", "qj"], "left_anti"))
     coords = dense_pts.select("mi", "mj", "lat", "lon").distinct()  # existence only
-    pa = coords.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), "mi", "mj")
-    pb = coords.select(F.col("lat").alias("blat"), F.col("lon").alias("blon"),
-                       F.col("mi").alias("qmi"), F.col("mj").alias("qmj"))
-    cell_pair_points = (unsure.select("ci", "cj", "qi", "qj", "mi", "mj", "qmi", "qmj")
-                        .join(pa, ["mi", "mj"]).join(pb, ["qmi", "qmj"])
-                        .filter(haversine_rad(F.col("plat"), F.col("plon"), F.col("blat"),
-                                              F.col("blon")) <= eps)
-                        .select("ci", "cj", "qi", "qj").distinct())
+    cell_pair_points = _touching(unsure.select("ci", "cj", "qi", "qj", F.col("mi").alias("ai"), F.col("mj").alias("aj"),
+                                               F.col("qmi").alias("bi"), F.col("qmj").alias("bj")), coords, m, eps)
     cn_a = cell_node.select(F.col("qi").alias("ci"), F.col("qj").alias("cj"),
                             F.col("node").alias("a"))
     dd = (cell_pair_certain.unionByName(cell_pair_points).distinct()
@@ -202,6 +197,62 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
     return labelled.unionByName(noise)
 
 
+def _box_bounds(a: str, b: str):
+    """Least and greatest central angle between points of two boxes (columns <x>_south, _north, _west, _east)."""
+    c = lambda side, edge: F.radians(f"{side}_{edge}")
+    gap = lambda low, high: F.greatest(c(b, low) - c(a, high), c(a, low) - c(b, high), F.lit(0.0))
+    reach = lambda low, high: F.greatest(c(b, high) - c(a, low), c(a, high) - c(b, low))
+    flat = lambda side: F.cos(F.greatest(F.abs(c(side, "south")), F.abs(c(side, "north"))))
+    wide = lambda side: F.cos(F.when(c(side, "south") * c(side, "north") <= 0, F.lit(0.0)).otherwise(
+        F.least(F.abs(c(side, "south")), F.abs(c(side, "north")))))
+
+    def angle(dlat, dlon, scale):
+        h = F.pow(F.sin(dlat / 2), 2) + scale * F.pow(F.sin(dlon / 2), 2)
+        return 2 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return (angle(gap("south", "north"), gap("west", "east"), flat(a) * flat(b)),
+            angle(reach("south", "north"), reach("west", "east"), wide(a) * wide(b)))
+
+
+def _touching(pairs: DataFrame, coords: DataFrame, m: float, eps: float) -> DataFrame:
+    """Cell pairs (ci, cj, qi, qj) with two points within eps, among pairs of micro-cells (ai, aj) and (bi, bj).
+
+    A quadtree over the micro-cells: a pair of nodes is decided by the bounds
+    between the boxes of their points, or by one point of each being near; else
+    both are split.  A cell pair stops at its first hit, and nodes of one
+    coordinate each are decided by it, so points are never paired wholesale.
+    """
+    sides, found, level = ("ci", "cj", "qi", "qj"), None, 0
+    pairs = pairs.checkpoint()
+
+    def nodes(side: str, size: float) -> DataFrame:
+        return coords.groupBy(F.floor(F.col("lat") / size).alias(f"{side}i"), F.floor(F.col("lon") / size).alias(f"{side}j")).agg(
+            F.min("lat").alias(f"{side}_south"), F.max("lat").alias(f"{side}_north"),
+            F.min("lon").alias(f"{side}_west"), F.max("lon").alias(f"{side}_east"),
+            F.min(F.struct("lat", "lon")).alias(f"{side}_one"))
+
+    while not pairs.isEmpty():
+        size = m / 2 ** level
+        seen = pairs.join(nodes("a", size), ["ai", "aj"]).join(nodes("b", size), ["bi", "bj"])
+        low, high = _box_bounds("a", "b")
+        near = haversine_rad(F.col("a_one.lat"), F.col("a_one.lon"), F.col("b_one.lat"), F.col("b_one.lon")) <= eps
+        single = ((F.col("a_south") == F.col("a_north")) & (F.col("a_west") == F.col("a_east"))
+                  & (F.col("b_south") == F.col("b_north")) & (F.col("b_west") == F.col("b_east")))
+        judged = seen.select(*sides, "ai", "aj", "bi", "bj", (near | (high <= eps * (1 - 1e-12))).alias("hit"),
+                             (single | (low > eps * (1 + 1e-12))).alias("out")).checkpoint()
+        hits = judged.filter("hit").select(*sides).distinct()
+        found = hits if found is None else found.unionByName(hits)
+        level += 1
+        finer = m / 2 ** level
+        kids = coords.select(F.floor(F.col("lat") / finer).alias("ki"), F.floor(F.col("lon") / finer).alias("kj")).distinct()
+        of = lambda side: kids.select(F.floor(F.col("ki") / 2).alias(f"{side}i"), F.floor(F.col("kj") / 2).alias(f"{side}j"),
+                                      F.col("ki").alias(f"{side}ki"), F.col("kj").alias(f"{side}kj"))
+        pairs = (judged.filter("not hit and not out").join(hits, list(sides), "left_anti")
+                 .join(of("a"), ["ai", "aj"]).join(of("b"), ["bi", "bj"])
+                 .select(*sides, F.col("aki").alias("ai"), F.col("akj").alias("aj"), F.col("bki").alias("bi"),
+                         F.col("bkj").alias("bj"))).checkpoint()
+    return pairs.select(*sides) if found is None else found.distinct()
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Min-label propagation with pointer jumping to the fixpoint; returns (node, label)."""
     lab = nodes.select("node", F.col("node").alias("label")).checkpoint()

@@ -2,7 +2,8 @@
 labels (D-4) and the arrival-order halves of a log (W-1).
 
 Binning: bounds come from a small per-group aggregate (min/max per column
-or feature) joined back, each row maps to a bin index with
+or feature) and go back into the plan as literals, so rows are never shuffled
+for them (``with_bounds``); each row maps to a bin index with
 ``least(floor((v-lo)/w), n-1)``, then a grouped count; empty bins are filled
 from a ``sequence`` of bin ids so the +1 smoothing of PSI sees every bin.
 Windows only run over those small per-group tables, never over rows
@@ -28,6 +29,26 @@ FEATURE_COLS = ["latitude", "longitude", "hour", "geo_event_count", "geo_closure
                 "zone_hour_event_count"]
 
 
+LITERAL_GROUPS = 1_000  # bounds of more groups are joined
+
+
+def with_bounds(df: DataFrame, bounds: DataFrame, keys: list[str], names: tuple[str, ...] = ("lo", "hi")) -> DataFrame:
+    """``df`` with its group's bounds beside each row; rows of unknown groups go."""
+    rows = bounds.select(*keys, *names).limit(LITERAL_GROUPS + 1).collect()
+    if len(rows) > LITERAL_GROUPS:
+        return df.join(bounds.select(*keys, *names), keys)
+    if not rows:
+        return df.limit(0).withColumns({n: F.lit(None).cast("double") for n in names})
+    kinds = {f.name: f.dataType for f in bounds.schema.fields}
+    parts = []
+    for r in rows:
+        parts += [F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]),
+                  F.struct(*[F.lit(r[n]).cast("double").alias(n) for n in names])]
+    known = F.try_element_at(F.create_map(*parts), F.struct(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]))
+    out = df.withColumn("_bounds", known).filter(F.col("_bounds").isNotNull())
+    return out.withColumns({n: F.col(f"_bounds.{n}") for n in names}).drop("_bounds")
+
+
 def bin_index(v: Column, lo: Column, hi: Column, n: int) -> Column:
     """Equal-width bin over [lo, hi], last bin closed; lo == hi puts all rows last."""
     width = (hi - lo) / F.lit(float(n))
@@ -59,7 +80,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> Da
     bounds = bounds.withColumn("width", width)
     idx = F.least(F.floor((F.col("_v") - F.col("lo")) / F.col("width")).cast("int"),
                   F.lit(bins - 1))
-    counts = (vals.join(bounds, keys, "inner").withColumn("bin", idx)
+    counts = (with_bounds(vals, bounds, keys, ("lo", "width")).withColumn("bin", idx)
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count")))
     dense = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = dense.join(counts, keys + ["bin"], "left")
@@ -116,7 +137,7 @@ def psi_table(df: DataFrame, group: str, side: str, value: str, bins: int = PSI_
         F.count_if(valid & (F.col(side) == ref_label)).alias("n_ref"),
         F.count_if(valid & (F.col(side) == cur_label)).alias("n_cur"))
     vals = df.select(group, side, v.alias("_v")).filter(valid)
-    counts = (vals.join(bounds.select(group, "lo", "hi"), group)
+    counts = (with_bounds(vals, bounds.filter(F.col("lo").isNotNull()), [group])
               .withColumn("bin", bin_index(F.col("_v"), F.col("lo"), F.col("hi"), bins))
               .groupBy(group, "bin").agg(
                   F.count_if(F.col(side) == ref_label).alias("r"),
@@ -165,7 +186,7 @@ def fit_reference_bins(train: DataFrame, cols=FEATURE_COLS, bins: int = PSI_BINS
     long = train.select(F.expr(f"stack({n}, {stack}) AS (feature, value)")).filter(
         F.col("value").isNotNull())
     bounds = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    counts = (long.join(bounds, "feature")
+    counts = (with_bounds(long, bounds, ["feature"])
               .withColumn("bin", bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
               .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("ref_count")))
     dense = bounds.select("feature", "lo", "hi",
@@ -186,7 +207,7 @@ def feature_drift(reference_bins: DataFrame, current: DataFrame, cols=FEATURE_CO
     idx = F.when(F.col("value") < F.col("lo"), F.lit(0)).when(
         F.col("value") > F.col("hi"), F.lit(bins - 1)).otherwise(
         bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
-    cur = (long.join(edges, "feature").withColumn("bin", idx)
+    cur = (with_bounds(long, edges, ["feature"]).withColumn("bin", idx)
            .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("cur_count")))
     full = (reference_bins.join(cur, ["feature", "bin"], "left")
             .withColumns({"r": F.col("ref_count") + 1,

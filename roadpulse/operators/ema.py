@@ -6,11 +6,13 @@ composition of those maps, which is associative (but not commutative), so
 it can be evaluated as a tree instead of one long ordered scan:
 
 * level 0: events of one cell within one second, ranked newest first
-  (``j`` = number of later events): ``b = sum a (1-a)^j x``, ``n`` events;
+  (``j`` = number of later events): ``b = sum a (1-a)^j x``, ``n`` events; a
+  (cell, second) with more than ``BUSY`` events is first split by microsecond
+  and by ranges of ids, whose maps compose to the second's in the same way;
 * each higher level (second -> hour -> day -> whole cell) composes its
   ordered children: ``b = sum b_child (1-a)^(events after the child)``.
 
-Every window therefore sees at most 3600 children (or the events of one
+Every window therefore sees at most 4096 ids or children (or ``BUSY`` events of one
 cell-second), so a hot cell never lands whole in one task, and the result
 is the exact fold (up to floating-point summation order).  The final value
 is ``(1-a)^n * start + b`` where ``start`` is the stored value, or -- for a
@@ -32,10 +34,14 @@ ALPHA = 0.3
 _LEVELS = [(1, 3600), (3600, 86400), (86400, None)]
 
 
+def with_cells(events: DataFrame) -> DataFrame:
+    """The events that have a place, with their cell."""
+    return with_geohash(events.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()),
+                        "latitude", "longitude", "geohash6")
+
+
 def _prep_events(events: DataFrame, ts_col: str, id_col: str) -> DataFrame:
-    ev = events.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    ev = with_geohash(ev, "latitude", "longitude", "geohash6")
-    return ev.select(
+    return with_cells(events).select(
         "geohash6", F.col(ts_col).alias("_ts"), F.col(id_col).alias("_id"),
         F.col("priority").eqNullSafe("High").cast("double").alias("x_high"),
         F.col("requires_road_closure").cast("double").alias("x_cl"),
@@ -43,9 +49,27 @@ def _prep_events(events: DataFrame, ts_col: str, id_col: str) -> DataFrame:
         F.floor(F.unix_micros(F.col(ts_col)) / 1_000_000).alias("k1"))
 
 
-def _leaf(ev: DataFrame, alpha: float) -> DataFrame:
-    """Level 0: fold the events of one (cell, second)."""
-    newest = Window.partitionBy("geohash6", "k1").orderBy(F.desc("_ts"), F.desc("_id"))
+BUSY = 10_000
+
+
+def _seconds(ev: DataFrame, alpha: float) -> DataFrame:
+    """Level 0 of all (cell, second) groups; busy ones through finer levels."""
+    busy = ev.groupBy("geohash6", "k1").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BUSY).select("geohash6", "k1")
+    if busy.isEmpty():
+        return _leaf(ev, alpha, ["k1"])
+    us = F.unix_micros("_ts")
+    fine = ev.join(busy, ["geohash6", "k1"], "left_semi").withColumns(
+        {"_us": us, "_ms": F.floor(us / 1000), "_idr": F.shiftright("_id", 24), "_ids": F.shiftright("_id", 12)})
+    level = _leaf(fine, alpha, ["k1", "_ms", "_us", "_idr", "_ids"])
+    for keys in (["k1", "_ms", "_us", "_idr"], ["k1", "_ms", "_us"], ["k1", "_ms"], ["k1"]):
+        child = next(c for c in ("_ids", "_idr", "_us", "_ms") if c in level.columns and c not in keys)
+        level = _folded(level, child, keys, alpha)
+    return _leaf(ev.join(busy, ["geohash6", "k1"], "left_anti"), alpha, ["k1"]).unionByName(level)
+
+
+def _leaf(ev: DataFrame, alpha: float, keys: list[str]) -> DataFrame:
+    """Fold the events of each (cell, keys)."""
+    newest = Window.partitionBy("geohash6", *keys).orderBy(F.desc("_ts"), F.desc("_id"))
     later = newest.rowsBetween(Window.unboundedPreceding, -1)
     has_d = F.col("x_d").isNotNull().cast("int")
     has_cl = F.col("x_cl").isNotNull().cast("int")
@@ -55,7 +79,7 @@ def _leaf(ev: DataFrame, alpha: float) -> DataFrame:
         "_jc": F.coalesce(F.sum(has_cl).over(later), F.lit(0)),
     })
     decay = lambda j: F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col(j))
-    return r.groupBy("geohash6", "k1").agg(
+    return r.groupBy("geohash6", *keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(decay("_j") * F.col("x_high")).alias("b_high"),
         F.count("x_cl").alias("n_cl"),
@@ -74,6 +98,12 @@ def _compose(children: DataFrame, child_key: str, parent_key: str | None,
     if parent_key is not None:
         df = df.withColumn(parent_key, F.floor(F.col(child_key) / unit_ratio))
         part.append(parent_key)
+    return _folded(df, child_key, part[1:], alpha)
+
+
+def _folded(df: DataFrame, child_key: str, keys: list[str], alpha: float) -> DataFrame:
+    """Compose the children of each (cell, keys) in order of ``child_key``."""
+    part = ["geohash6", *keys]
     later = (Window.partitionBy(*part).orderBy(F.desc(child_key))
              .rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumns({"_after": F.coalesce(F.sum("n").over(later), F.lit(0)),
@@ -93,7 +123,7 @@ def cell_updates(events: DataFrame, alpha: float = ALPHA, ts_col: str = "event_t
                  id_col: str = "event_id") -> DataFrame:
     """Per-cell composed update: n, b_* and the cell's first event values."""
     ev = _prep_events(events, ts_col, id_col)
-    level = _leaf(ev, alpha)
+    level = _seconds(ev, alpha)
     child = "k1"
     for unit, parent_unit in _LEVELS:
         parent = None if parent_unit is None else f"k{parent_unit}"

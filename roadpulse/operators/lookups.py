@@ -2,16 +2,16 @@
 
 Lookups are built from the training slice only.  Each is one partial
 (map-side) aggregate on its key; null keys are filtered first (the
-reference's group-by drops them).  Joins are plain left equi-joins without
-static broadcast hints: the lookup sides are small aggregates and AQE
-switches to a broadcast join from their *measured* size, while a lookup that
-outgrows the threshold (e.g. the cell table at city-wide scale) stays a
-shuffle join instead of blowing up executor memory.
+reference's group-by drops them).  Joins are left equi-joins.  A
+lookup whose counted rows stay within ``BROADCAST_ROWS`` is broadcast, so fact
+rows are not shuffled for it.  A larger one is joined by its key, with the keys
+that hold many fact rows (found by a frequency sketch) spread over ``SALTS``
+copies of their lookup row, so that no task gathers a hot cell.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,6 +85,11 @@ class Lookups:
     cause: DataFrame
     cause_zone: DataFrame
     high_risk: DataFrame
+    rows: dict[str, int] = field(default_factory=dict)  # counted rows of the stored tables
+
+    def counted(self) -> "Lookups":
+        """The same with its tables counted; they should be stored."""
+        return replace(self, rows={k: t.count() for k, t in self.items()})
 
     @classmethod
     def fit(cls, train: DataFrame) -> "Lookups":
@@ -98,14 +103,40 @@ class Lookups:
                 "high_risk": self.high_risk}.items()
 
 
+BROADCAST_ROWS = 200_000
+HEAVY = 0.01  # share of the fact rows from which a key counts as heavy
+SALTS = 32
+
+
+def salted_join(df: DataFrame, lookup: DataFrame, key: str, heavy: list) -> DataFrame:
+    """Left join in which each heavy key's rows go to ``SALTS`` tasks."""
+    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False)) if heavy else F.lit(False)
+    salt = F.when(is_heavy, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(F.lit(0))
+    copies = F.when(is_heavy, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return (df.withColumn("_salt", salt.cast("long"))
+            .join(lookup.withColumn("_salt", F.explode(copies)), [key, "_salt"], "left").drop("_salt"))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float = HEAVY) -> list:
+    """All keys that hold at least ``share`` of the rows, and perhaps some lighter ones."""
+    return [k for k in df.select(key).stat.freqItems([key], share).first()[0] if k is not None]
+
+
+def _joined(df: DataFrame, lk: Lookups, name: str, keys: list[str]) -> DataFrame:
+    table, rows = getattr(lk, name), lk.rows.get(name)
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), keys, "left")
+    if rows is not None and len(keys) == 1:
+        return salted_join(df, table, keys[0], heavy_keys(df, keys[0]))
+    return df.join(table, keys, "left")
+
+
 def join_lookups(df: DataFrame, lk: Lookups) -> DataFrame:
     """J-1..J-5 (+J-6 raw): left joins; row count never changes (keys unique)."""
-    out = (df.join(lk.cell, "geohash6", "left")
-             .join(lk.zone_hour, ["zone", "hour"], "left")
-             .join(lk.corridor, "corridor", "left")
-             .join(lk.cause, "event_cause", "left")
-             .join(lk.cause_zone, ["event_cause", "zone"], "left"))
-    return out
+    for name, keys in (("cell", ["geohash6"]), ("zone_hour", ["zone", "hour"]), ("corridor", ["corridor"]),
+                       ("cause", ["event_cause"]), ("cause_zone", ["event_cause", "zone"])):
+        df = _joined(df, lk, name, keys)
+    return df
 
 
 def median_table(joined_train: DataFrame) -> DataFrame:

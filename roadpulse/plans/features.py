@@ -82,7 +82,7 @@ def fit_feature_state(train: DataFrame) -> FeatureState:
         fitted = lk.Lookups.fit(train)
         # checkpointed (shared folder), not cached: lineage is cut and no
         # cache entry lingers for the planner to match against later plans
-        lookups = lk.Lookups(**{name: materialize(t) for name, t in fitted.items()})
+        lookups = lk.Lookups(**{name: materialize(t) for name, t in fitted.items()}).counted()
         joined = lk.join_lookups(train, lookups)
         medians = lk.median_table(joined).first().asDict()
         capper = IQRCapper("duration_minutes", 1.5).fit(train)

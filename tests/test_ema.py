@@ -2,9 +2,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadpulse.functions.geo import with_geohash
+from roadpulse.operators import ema
 from roadpulse.operators.ema import apply_ema
 
 A = 0.3
@@ -29,7 +31,10 @@ def fold(lookup, events, cells):
     return lk, applied
 
 
-def test_fold_equality(spark):
+@pytest.mark.parametrize("busy", [10_000, 4])
+def test_fold_equality(spark, monkeypatch, busy):
+    """Also with nearly every second split by microsecond and ranges of ids."""
+    monkeypatch.setattr(ema, "BUSY", busy)
     rnd = random.Random(5)
     base = dt.datetime(2024, 1, 1)
     spots = [(12.97, 77.59), (12.98, 77.60), (13.01, 77.51), (12.80, 77.70)]
@@ -38,7 +43,7 @@ def test_fold_equality(spark):
         lat, lon = spots[0] if i % 3 else rnd.choice(spots)      # one hot cell
         sec = rnd.choice([0, 0, 1, 59, 3600, 3601, 86400, 200000])
         ts = base + dt.timedelta(seconds=sec, microseconds=rnd.choice([0, 5]))
-        events.append((ts, i, lat, lon, rnd.choice(["High", "Low", None]),
+        events.append((ts, i * 2999, lat, lon, rnd.choice(["High", "Low", None]),
                        rnd.choice([0, 1]), rnd.choice([None, 12.5, 40.0, 95.25])))
     ev = spark.createDataFrame(events, "event_ts timestamp, event_id long, latitude double, "
                                        "longitude double, priority string, "
