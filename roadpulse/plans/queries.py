@@ -523,7 +523,7 @@ def q_csv_incidents(spark, sf_dir):
     """IO-1: the incidents as CSV files with damaged lines among them, read back and typed."""
     raw = incident_fixture(spark, sf_dir)
     names = [c for c in raw.columns if c != "incident_id"]
-    line = F.to_csv(F.struct(F.col("incident_id").alias("id"), *names), {"quoteAll": "true"})
+    line = F.to_csv(F.struct(F.col("incident_id").alias("id"), *names), {"quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     broken = F.when(F.col("incident_id") % 500 == 0, F.array(line, F.concat(F.lit("damaged "), F.col("incident_id").cast("string"))))
     lines = raw.select(F.explode(F.coalesce(broken, F.array(line))).alias("value"))
 
@@ -550,11 +550,12 @@ def q_damaged_log(spark, sf_dir):
         F.coalesce("corridor", F.lit("")), F.lit(", near \u2019Caf\u00e9\u2019, 2"))).otherwise(F.col("corridor")))
     path, raw = _scratch(spark, "text-log"), _scratch(spark, "text-log-mixed")
     predlog.write_text_log(log, path)
-    # every other line in code page 1252: its quote sign is the byte 92
-    old = F.encode(F.replace("value", F.lit("\u2019"), F.lit("\u0092")), "ISO-8859-1").cast("string")
+    # about every other line in code page 1252: its quote sign is the byte 92, its dash 97
+    old = F.encode(F.translate("value", "\u2019\u2014", "\u0092\u0097"), "ISO-8859-1").cast("string")
     text = spark.read.text(path)
-    text.select(F.when(F.pmod(F.xxhash64("value"), F.lit(2)) == 0, old).otherwise(F.col("value")).alias("value")).write.text(raw)
-    return round_doubles(ts_text(predlog.read_log(spark, raw, "csv").drop("prediction_id")))
+    fits = F.pmod(F.xxhash64("value"), F.lit(2)).eqNullSafe(0) & F.col("value").rlike("^[\\x00-\\x7f\\xa0-\\xff\u2019\u2014]*$")
+    text.select(F.when(fits, old).otherwise(F.col("value")).alias("value")).write.text(raw)
+    return round_doubles(ts_text(predlog.read_log(spark, raw, "csv").drop("prediction_id", "_corrupt_record")))
 
 
 def q_outcome_upsert(spark, sf_dir):

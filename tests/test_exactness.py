@@ -35,7 +35,7 @@ def test_smote_makes_exactly_the_missing_rows_with_unique_ids(spark):
     rnd = random.Random(1)
     rows = [(k, float(rnd.gauss(0, 50)), float(rnd.gauss(0, 50)), int(k < 40)) for k in range(440)]
     df = spark.createDataFrame(rows, "id long, a double, b double, y int")
-    for options, want in (({}, 400 - 40), ({"chunk": 16, "around": 8}, 400 - 40), ({"ratio": 0.5}, 200 - 40)):
+    for options, want in (({}, 400 - 40), ({"k": 60}, 400 - 40), ({"ratio": 0.5}, 200 - 40)):
         made = smote(df, "y", ["a", "b"], "id", **options).where("synthetic").collect()
         assert len(made) == want and len({r.id for r in made}) == want
         assert all(r.y == 1 and r.id < 0 for r in made)
