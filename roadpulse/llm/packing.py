@@ -28,6 +28,8 @@ Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -40,70 +42,88 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte: itself, or the next free one from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary drops white space and cuts at it, so the ids of a text are
     those of its white-space-separated chunks.  Chunks met before come from a
-    bounded cache.  A new chunk of letters and closing punctuation is looked
-    up as its two parts, which the vocabulary's splitting rule also cuts
-    apart; new words of letters go to the tokenizer as one text, whose words
-    end at tokens marked as word ends; all else goes to it chunk by chunk.
+    bounded cache of two generations: what was met since the last change of
+    generation, and before it what was met in the one before.  The vocabulary's splitting rule cuts a chunk into runs of
+    letters, single digits and runs of other signs, and each piece is merged on its own: a new
+    chunk of ASCII signs and Latin letters is cut that way here and its new pieces go to the
+    merge model alone.  Chunks with an apostrophe (contractions), a special
+    token's mark or any other sign go to the whole tokenizer.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    _ASCII = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    _LATIN = re.compile(r"[^\W\d_]+|[0-9]|[\W_]+")
+    _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+    def __init__(self, path: str, cached: int = 600_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer, self.cached, self.known = Tokenizer.from_file(path), cached, {}
-        words = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-
-    def _alone(self, chunks: list[bytes]) -> None:
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(
-                [c.decode() for c in chunks], add_special_tokens=False)):
-            self.known[chunk] = np.array(got.ids, "<u4").tobytes()
+        self.old: dict[bytes, bytes] = {}
+        self.model, self.signs = self.tokenizer.model, _byte_signs()
+
+    def _pieces(self, chunk: bytes) -> list[bytes] | None:
+        """The chunk's pieces in lower case; None if the rule here does not cover it."""
+        if b"'" in chunk or b"<|" in chunk:
+            return None
+        if chunk.isascii():
+            return self._ASCII.findall(chunk.lower())
+        text = chunk.decode()
+        others = "".join(self._NON_ASCII.findall(text))
+        if not others.isalpha() or max(others) >= "\u0250" or "\u0130" in others:
+            return None
+        return [p.encode() for p in self._LATIN.findall(text.lower())]
+
+    def _merged(self, piece: bytes) -> bytes:
+        """Ids of one piece."""
+        got = self.known.get(piece) or self.old.get(piece)
+        if got is None:
+            signs = piece.decode("latin-1")
+            ids = [t.id for t in self.model.tokenize(signs if piece.isalnum() else signs.translate(self.signs))]
+            got = self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
     def _learn(self, chunks: set[bytes]) -> None:
-        known, split, plain, words = self.known, [], [], set()
+        known, old, merged, odd = self.known, self.old.get, self._merged, []
         for chunk in chunks:
-            core = chunk.rstrip(b".,;:!?")
-            if core.isalpha():  # ASCII letters only
-                word, tail = core.lower(), chunk[len(core):]
-                split.append((chunk, word, tail))
-                if word not in known:
-                    words.add(word)
-                if tail and tail not in known:
-                    plain.append(tail)
-            elif (text := chunk.decode()).isalpha() and max(text) < "\u0250":
-                words.add(chunk)
+            if (ids := old(chunk)) is not None:
+                known[chunk] = ids
+                continue
+            core = chunk if chunk.isalpha() else chunk.rstrip(b".,;:!?")
+            if core.isalpha():  # ASCII letters only, the usual case
+                ids = merged(core.lower())
+                known[chunk] = ids if core is chunk else ids + merged(chunk[len(core):])
+            elif (pieces_ := self._pieces(chunk)) is None:
+                odd.append(chunk)
             else:
-                plain.append(chunk)
-        if words:
-            words = list(words)
-            ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(words):
-                raw, at = ids.tobytes(), 0
-                for word, stop in zip(words, (4 * stops).tolist()):
-                    known[word], at = raw[at:stop], stop
-            else:
-                plain += words
-        self._alone(plain)
-        for chunk, word, tail in split:
-            known[chunk] = known[word] + known[tail] if tail else known[word]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.cached:
-            self.known.clear()
+                known[chunk] = b"".join([merged(p) for p in pieces_])
+        if odd:
+            for chunk, got in zip(odd, self.tokenizer.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False)):
+                known[chunk] = np.array(got.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str | bytes | None]) -> list[bytes]:
+        """Ids of each text; bytes are UTF-8."""
+        if 2 * len(self.known) > self.cached:
+            self.known, self.old = {}, self.known
         chunks, ends = [], []
         for text in texts:
-            chunks += (text or "").encode().split()
+            chunks += (text if isinstance(text, bytes) else (text or "").encode()).split()
             ends.append(len(chunks))
         ids = list(map(self.known.get, chunks))
-        new = [i for i, got in enumerate(ids) if got is None]
-        if new:
+        if None in ids:
+            new = [i for i, got in enumerate(ids) if got is None]
             self._learn({chunks[i] for i in new})
             for i in new:
                 ids[i] = self.known[chunks[i]]
@@ -121,9 +141,9 @@ def _encoder(path: str) -> Encoder:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, text): a row's id, its text and the text's hash; rows equal in id and text are interchangeable."""
+    """(id, h, text): a row's id, its text in UTF-8 and the text's hash; rows equal in id and text are interchangeable."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -155,11 +175,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, h long, {PIECE}")
 
 
-def checksums(docs: DataFrame, parts: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """``parts`` (id, h, start, length, ...) with ids_crc32; only the documents that have parts are encoded again."""
+def checksums(docs: DataFrame, parts: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int,
+              most_broadcast: int = 100_000) -> DataFrame:
+    """``parts`` (id, h, start, length, ...) with ids_crc32; only the documents that have parts are encoded again.
+
+    Their keys and cuts are broadcast if they are at most ``most_broadcast`` parts, so that no text is shuffled.
+    """
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     spans = parts.groupBy("id", "h").agg(F.collect_set(F.struct("start", "length")).alias("spans"))  # one text's own cuts
+    if parts.count() <= most_broadcast:
+        spans = F.broadcast(spans)
     texts = _rows(docs, id_col, text_col).withColumnsRenamed({"id": "id_", "h": "h_"})
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_"))
 
