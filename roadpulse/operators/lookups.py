@@ -27,6 +27,9 @@ LOOKUP_VALUE_COLS = [
     "cause_avg_duration",
 ]
 MEDIAN_COLS = LOOKUP_VALUE_COLS + ["cause_zone_closure"]
+#: Columns of the training slice that the lookups and their joins read.
+INPUT_COLUMNS = ["geohash6", "zone", "hour", "corridor", "event_cause", "priority", "requires_road_closure",
+                 "duration_minutes", "road_closure_binary"]
 HIGH_RISK_RATE = 0.3
 
 
