@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 
 from ..functions import rules
 from ..schema import PREDICTION_LOG
-from ..session import shared_path
 from .fixture import incidents_from_events
 from .tables import read_table
 
@@ -197,9 +196,7 @@ def upsert_outcomes(spark: SparkSession, log_path: str, outcomes_path: str, arri
         *[c for c in LOG_COLUMNS if c not in actual],
         *[F.when(known, v).otherwise(F.col(c)).alias(c) for c, v in zip(actual, (
             F.col("o.priority"), F.col("o.requires_road_closure"), F.col("o.duration_minutes"), right))], "log_date")
-    # written aside first: the days are read while they are replaced
-    aside = shared_path(spark, f"outcomes-{stamp}")
-    joined.write.parquet(aside)
-    (spark.read.schema(joined.schema).parquet(aside).hint("rebalance", "log_date").write.mode("overwrite")
+    # the new files are staged beside the days and take their place when all are written, so the days can be read meanwhile
+    (joined.hint("rebalance", "log_date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("log_date").parquet(log_path))
     return sorted(days, key=str)
