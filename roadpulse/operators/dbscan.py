@@ -17,9 +17,9 @@ No all-pairs step runs inside a dense group:
   micro-cell is either certainly inside eps, certainly outside, or
   uncertain; for a sparse point only uncertain micro-cells are expanded, to
   their *distinct coordinates* (with multiplicity), so incidents stacked on one
-  spot cost one row; for two dense cells uncertain pairs of micro-cells are
-  split as quadtrees, with bounds between the boxes of their points, until the
-  first two points within eps are found or none is left;
+  spot cost one row; two dense cells are compared as quadtrees from the cell
+  down, with bounds between the boxes of their points and tests of their outermost
+  points, until the first two points within eps are found or none is left;
 * points of sparse cells (< min_samples each) are compared point-to-point
   with the sparse points of the surrounding cells -- at most
   (cells in reach) x (min_samples - 1) candidates per point;
@@ -139,26 +139,16 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
     sd = (sm_certain.select("id", "qi", "qj").unionByName(sm_points.select("id", "qi", "qj"))
           .join(sparse_core, "id").join(cell_node, ["qi", "qj"])
           .select(F.col("id").alias("a"), F.col("node").alias("b")))
-    # dense cell x dense cell: micro-cell pairs, points only when uncertain
-    ma = around(micro_cells.select("ci", "cj", "mi", "mj", "mlat", "mlon"),
-                ["ci", "cj", "mi", "mj", "mlat", "mlon"])
-    mb = micro_cells.select(F.col("ci").alias("qi"), F.col("cj").alias("qj"),
-                            F.col("mi").alias("qmi"), F.col("mj").alias("qmj"),
-                            F.col("mlat").alias("qlat"), F.col("mlon").alias("qlon"))
-    mm = (ma.join(mb, ["qi", "qj"])
-          .filter((F.col("ci") != F.col("qi")) | (F.col("cj") != F.col("qj")))
-          .withColumn("_d", haversine_rad(F.col("mlat"), F.col("mlon"), F.col("qlat"), F.col("qlon")))
-          .filter(F.col("_d") <= eps + 2 * r_micro))
-    cell_pair_certain = (mm.filter(F.col("_d") <= eps - 2 * r_micro)
-                         .select("ci", "cj", "qi", "qj").distinct())
-    unsure = (mm.filter(F.col("_d") > eps - 2 * r_micro)
-              .join(cell_pair_certain, ["ci", "cj", "qi", "qj"], "left_anti"))
+    # dense cell x dense cell: quadtrees from the cells down, each pair of cells once
+    dense_cells = cell_node.select(F.col("qi").alias("ci"), F.col("qj").alias("cj"))
+    pairs = (around(dense_cells, ["ci", "cj"]).join(cell_node.select("qi", "qj"), ["qi", "qj"])
+             .filter((F.col("ci") < F.col("qi")) | ((F.col("ci") == F.col("qi")) & (F.col("cj") < F.col("qj")))))
     coords = dense_pts.select("mi", "mj", "lat", "lon").distinct()  # existence only
-    cell_pair_points = _touching(unsure.select("ci", "cj", "qi", "qj", F.col("mi").alias("ai"), F.col("mj").alias("aj"),
-                                               F.col("qmi").alias("bi"), F.col("qmj").alias("bj")), coords, m, eps)
+    touching = _touching(pairs.select("ci", "cj", "qi", "qj", F.col("ci").alias("ai"), F.col("cj").alias("aj"),
+                                      F.col("qi").alias("bi"), F.col("qj").alias("bj")), coords.checkpoint(), m, eps, micro)
     cn_a = cell_node.select(F.col("qi").alias("ci"), F.col("qj").alias("cj"),
                             F.col("node").alias("a"))
-    dd = (cell_pair_certain.unionByName(cell_pair_points).distinct()
+    dd = (touching
           .join(cn_a, ["ci", "cj"]).join(cell_node, ["qi", "qj"])
           .select("a", F.col("node").alias("b")))
     edges = e1.unionByName(sd).unionByName(dd)
@@ -192,7 +182,10 @@ def dbscan(points: DataFrame, id_col: str = "id", lat: str = "latitude", lon: st
               .groupBy("id").agg(F.min("cluster").alias("cluster"))
               .withColumn("is_core", F.lit(False)))
     labelled = dense_lab.unionByName(sparse_core_lab).unionByName(border)
-    noise = (sparse.select("id").join(labelled.select("id"), "id", "left_anti")
+    # dense points are all labelled; only ids that sparse points share matter here
+    shared = dense_pts.select("id").join(sparse.select("id"), "id", "left_semi")
+    taken = sparse_core_lab.select("id").unionByName(border.select("id")).unionByName(shared)
+    noise = (sparse.select("id").join(taken, "id", "left_anti")
              .select("id", F.lit(-1).alias("cluster"), F.lit(False).alias("is_core")))
     return labelled.unionByName(noise)
 
@@ -213,28 +206,39 @@ def _box_bounds(a: str, b: str):
             angle(reach("south", "north"), reach("west", "east"), wide(a) * wide(b)))
 
 
-def _touching(pairs: DataFrame, coords: DataFrame, m: float, eps: float) -> DataFrame:
-    """Cell pairs (ci, cj, qi, qj) with two points within eps, among pairs of micro-cells (ai, aj) and (bi, bj).
+def _touching(pairs: DataFrame, coords: DataFrame, m: float, eps: float, micro: int | None = None) -> DataFrame:
+    """Cell pairs (ci, cj, qi, qj) with two points within eps, among pairs of nodes (ai, aj) and (bi, bj): micro-cells, or cells of ``micro``.
 
-    A quadtree over the micro-cells: a pair of nodes is decided by the bounds
-    between the boxes of their points, or by one point of each being near; else
+    A quadtree: a pair of nodes is decided by the bounds between the boxes of
+    their points, or by two of their outermost points being near; else
     both are split.  A cell pair stops at its first hit, and nodes of one
     coordinate each are decided by it, so points are never paired wholesale.
     """
     sides, found, level = ("ci", "cj", "qi", "qj"), None, 0
-    pairs = pairs.checkpoint()
-
-    def nodes(side: str, size: float) -> DataFrame:
-        return coords.groupBy(F.floor(F.col("lat") / size).alias(f"{side}i"), F.floor(F.col("lon") / size).alias(f"{side}j")).agg(
+    pairs, cells = pairs.checkpoint(), 0 if micro is None else 1
+    corners = ("sw", "ne", "nw", "se")
+
+    def at(axis: str, level: int):
+        """Number of the node that holds a coordinate: cells, if they are the first level, then micro-cells and their parts."""
+        if level < cells:
+            return F.floor(F.floor(F.col(axis) / m) / micro)
+        return F.floor(F.col(axis) / (m / 2 ** (level - cells)))
+
+    def nodes(side: str, level: int) -> DataFrame:
+        sum_, diff, point = F.col("lat") + F.col("lon"), F.col("lat") - F.col("lon"), F.struct("lat", "lon")
+        return coords.groupBy(at("lat", level).alias(f"{side}i"), at("lon", level).alias(f"{side}j")).agg(
             F.min("lat").alias(f"{side}_south"), F.max("lat").alias(f"{side}_north"),
             F.min("lon").alias(f"{side}_west"), F.max("lon").alias(f"{side}_east"),
-            F.min(F.struct("lat", "lon")).alias(f"{side}_one"))
+            F.min_by(point, sum_).alias(f"{side}_sw"), F.max_by(point, sum_).alias(f"{side}_ne"),
+            F.max_by(point, diff).alias(f"{side}_nw"), F.min_by(point, diff).alias(f"{side}_se"))
+
+    def angle(a: str, b: str):
+        return haversine_rad(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
 
     while not pairs.isEmpty():
-        size = m / 2 ** level
-        seen = pairs.join(nodes("a", size), ["ai", "aj"]).join(nodes("b", size), ["bi", "bj"])
+        seen = pairs.join(nodes("a", level), ["ai", "aj"]).join(nodes("b", level), ["bi", "bj"])
         low, high = _box_bounds("a", "b")
-        near = haversine_rad(F.col("a_one.lat"), F.col("a_one.lon"), F.col("b_one.lat"), F.col("b_one.lon")) <= eps
+        near = F.least(*[angle(f"a_{x}", f"b_{y}") for x in corners for y in corners]) <= eps
         single = ((F.col("a_south") == F.col("a_north")) & (F.col("a_west") == F.col("a_east"))
                   & (F.col("b_south") == F.col("b_north")) & (F.col("b_west") == F.col("b_east")))
         judged = seen.select(*sides, "ai", "aj", "bi", "bj", (near | (high <= eps * (1 - 1e-12))).alias("hit"),
@@ -242,9 +246,9 @@ def _touching(pairs: DataFrame, coords: DataFrame, m: float, eps: float) -> Data
         hits = judged.filter("hit").select(*sides).distinct()
         found = hits if found is None else found.unionByName(hits)
         level += 1
-        finer = m / 2 ** level
-        kids = coords.select(F.floor(F.col("lat") / finer).alias("ki"), F.floor(F.col("lon") / finer).alias("kj")).distinct()
-        of = lambda side: kids.select(F.floor(F.col("ki") / 2).alias(f"{side}i"), F.floor(F.col("kj") / 2).alias(f"{side}j"),
+        parts = micro if level <= cells and cells else 2
+        kids = coords.select(at("lat", level).alias("ki"), at("lon", level).alias("kj")).distinct()
+        of = lambda side: kids.select(F.floor(F.col("ki") / parts).alias(f"{side}i"), F.floor(F.col("kj") / parts).alias(f"{side}j"),
                                       F.col("ki").alias(f"{side}ki"), F.col("kj").alias(f"{side}kj"))
         pairs = (judged.filter("not hit and not out").join(hits, list(sides), "left_anti")
                  .join(of("a"), ["ai", "aj"]).join(of("b"), ["bi", "bj"])
